@@ -126,28 +126,50 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes that are hashed at a time, so that the arrays of a block stay in cache and memory stays bounded.
+BLOCK = 1 << 20
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts laid end to end in the byte array ``data``; text i ends at ``ends[i]``.
 
     Words are maximal runs of bytes b with word[b], cut at text ends; A-Z count as a-z. Returns for every word its
     64-bit hash, first byte, end byte and text index.
     """
-    inside = word[data]
-    if not len(data) or not inside.any():
+    parts, at = [], 0
+    while at < len(data):
+        stop = min(at + BLOCK, len(data))
+        while stop < len(data) and word[data[stop]]:  # to the end of a word or of a text
+            gap = np.flatnonzero(~word[data[stop : stop + 4096]])
+            limit = int(ends[np.searchsorted(ends, stop)])
+            stop = min(limit, stop + (int(gap[0]) if len(gap) else 4096))
+            if stop == limit:
+                break
+        parts.append((at, *_block_hashes(data[at:stop], ends[(ends > at) & (ends < stop)] - at, word)))
+        at = stop
+    if not parts:
         empty = np.zeros(0, dtype=np.int64)
         return empty.astype(np.uint64), empty, empty, empty
+    hashes = np.concatenate([p[1] for p in parts])
+    starts = np.concatenate([p[2] + p[0] for p in parts])
+    stops = np.concatenate([p[3] + p[0] for p in parts])
+    return hashes, starts, stops, np.searchsorted(ends, starts, side="right")
+
+
+def _block_hashes(data: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    cuts = ends[ends < len(data)]
     first[cuts] = inside[cuts]
     starts = np.flatnonzero(first)
     at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), starts, starts
     begin = np.searchsorted(at, starts)
     lengths = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, lengths)
     terms = _BYTE[LOWER[data[at]]] * _powers(int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64))
-    return hashes, starts, starts + lengths, np.searchsorted(ends, starts, side="right")
+    return mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64)), starts, starts + lengths
 
 
 def batch_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
