@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,30 +30,43 @@ from pyspark.sql import functions as F
 LONGEST = 64
 #: Sequences in a record batch.
 BATCH = 1024
+#: Letters of Latin scripts, lower case; anything outside ASCII and these scripts; what ends a word after its letters.
+_LETTERS = re.compile("[a-zß-öø-ɏ]+").fullmatch
+_OTHER = re.compile("[^\\x00-\u00a9\u00ab-\u0129\u0131-\u024f]").search
+_STOPS = re.compile(r"(?<=[a-zß-öø-ɏ])([!-/:-@\[-`{-~]+)(?=[ \n]|\Z)")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, each distinct word of a batch encoded once.
+    """Ids of texts by the tokenizers library, each distinct word met once in a while.
 
-    Only for tokenizers whose first step drops white space, so that words between blanks are independent: checked on
-    the tokenizer's description, else whole texts are encoded.
+    Only for tokenizers that drop white space first, so that what stands between blanks is independent (checked on the
+    tokenizer's description and on samples); else whole texts are encoded. Where a text has Latin letters only, it is
+    lowered and marks at the ends of words are set off first, which such a tokenizer does anyhow, so fewer words are
+    distinct; and new words of letters alone are encoded many at a time and told apart by their word-end tokens.
+
+    The words known are two generations of ``entries`` at most: those not met since the older one was young are dropped.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.entries = Tokenizer.from_file(path), entries
         self.known: dict[str, bytes] = {}
-        size = self.model.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         rules = json.loads(self.model.to_str())
         first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = (
-            first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
-            and all(self.model.encode(a + b + c, add_special_tokens=False).ids == self.model.encode(a, add_special_tokens=False).ids + self.model.encode(c, add_special_tokens=False).ids for a in ("ab", "'", "Σ.", "5", "") for b in (" ", "\n", " \n ") for c in ("s", "́x", "n't", "5", ""))
-        )
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        parts = ("ab", "Ab,", "é", "Σ.", "'", "5", "", "n't", "s", "\u0301x", "b...", "<|a")
+        self.by_word = first.get("type") == "Split" and bool(first.get("invert")) and first.get("behavior") == "Removed" and all(ids(a + c + b) == ids(a) + ids(b) for a in parts for b in parts for c in (" ", "\n", " \n "))
+        self.lowers = self.by_word and "Lowercase" in steps and all(ids(f"x{a}{p} y") == ids(f"x{a.lower()} {p} y") for a in ("b", "É", "ß", "Ž", "'S") for p in (".", ",!", "###", "''"))
 
     @classmethod
     def get(cls, path: str) -> WordEncoder:
@@ -60,23 +74,49 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        plain, rest = [], []
+        for w in words:
+            (plain if _LETTERS(w) else rest).append(w)
+        if not self.lowers or not self.ends.any():
+            plain, rest = [], words
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(part):
+                rest += part
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            self.known.update(zip(part, self._each(part), strict=True))
+
+    def _words(self, text: str) -> list[str]:
+        if self.lowers and not _OTHER(text) and "<|" not in text:
+            text = _STOPS.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self._ids(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.entries:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
+            return self._each(texts)
+        out: list[bytes] = []
+        for at in range(0, len(texts), 512):
+            split = [self._words(t) for t in texts[at : at + 512]]
+            if len(self.known) > self.entries:
+                self.known, self.older = {}, self.known
+            new = set().union(*split).difference(self.known)
+            again = {w: self.older[w] for w in new & self.older.keys()}
+            self.known |= again
+            self._learn(list(new.difference(again)))
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+            for word in new:
+                if len(word) > LONGEST:
+                    del self.known[word]
         return out
 
 
