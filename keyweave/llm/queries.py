@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, quality, sentencepiece_codec, sharding, token_counts, token_files
+from . import chat_format, decontamination, exact_dedup, jaccard, quality, sentencepiece_codec, sharding, token_counts, token_files
 from .common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,13 +53,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "op10")
     return token_files.sequences_of(spark, table(spark, sf_dir, "documents"), WORDS, f"{folder}/sequences", f"{folder}/manifest", end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_exact_dedup, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_exact_dedup, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_shingle_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
