@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -85,6 +86,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark, name)}/table"
     df.write.parquet(path)
+    # what was shuffled for it may go now: Spark frees it once the driver has collected its garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -173,10 +177,10 @@ def _block_hashes(data: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> tuple
 
 
 def batch_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
-    """An Arrow string array as (all bytes, end offset of each text); nulls are empty."""
+    """An Arrow string or binary array as (all bytes, end offset of each text); nulls are empty."""
     import pyarrow as pa
 
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)

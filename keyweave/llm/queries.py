@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, jaccard, quality, sentencepiece_codec, sharding, token_counts, token_files
+from . import chat_format, decontamination, exact_dedup, jaccard, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, token_files
 from .common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.kept_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -63,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_exact_dedup, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_shingle_join, op10_token_files)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_exact_dedup, op4_suffix_dedup, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_shingle_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
