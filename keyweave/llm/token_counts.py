@@ -2,9 +2,9 @@
 
 The tokenizer of a byte-pair model with whitespace markers is compiled, as far as texts need it, into a
 deterministic transducer over characters. A state stands for what has been read of a chunk (chunks begin at a run of
-markers, which no piece crosses), and the transition on a character carries the change in the number of tokens
-emitted so far; the changes along a path add up to the count. A state's last token is found among the pieces that
-end there: the only one which, next to the last token before it, the merges leave as it is.
+markers, which no piece crosses). A transition emits the change in the number of tokens, and a state holds the sum of
+what the path to it emits. A state's last token is found among the pieces that end there: the only one which, next to
+the last token before it, the merges leave as it is.
 
 A block of text acts on the transducer as a map of states: a block with a chunk border sends every incoming state,
 after its head, to one outgoing state; a block without one extends the chunk. Such maps are (head, tokens inside,
@@ -16,6 +16,7 @@ an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -40,17 +41,38 @@ class StateMap(NamedTuple):
     tail: str | None
 
 
+_NONE: dict[str, State] = {}
+
+
+class State:
+    """What has been read of a chunk: the last token and the tokens emitted on the way here."""
+
+    __slots__ = ("emitted", "last", "moves")
+
+    def __init__(self, moves: dict[str, State], last: str, emitted: int):
+        self.moves, self.last, self.emitted = moves, last, emitted
+
+
 class Words(dict):
-    """Tokens of chunks that begin with one marker, by the rest: paths from start to start, taken as one transition."""
+    """Tokens of chunks that begin with one marker, by the rest: paths from start to start, taken as one transition.
+
+    Two generations of ``entries`` at most: words not met since the older one was young are dropped.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.walk, self.entries = transducer.walk, transducer.entries
+        self.of, self.entries = transducer, transducer.entries
+        self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        found = self.walk(MARK + word)
+        found = self.older.get(word)
+        if found is None:
+            cut = self.of.last_cut(word)
+            # no piece spans the cut, so what is before it is a word of its own, met more often
+            found = self[word[:cut]] + self.of.end(word[cut:]) if cut else self.of.walk(MARK + word)
         if len(word) < LONGEST:
             if len(self) > self.entries:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -59,7 +81,7 @@ class Words(dict):
 class Transducer:
     """Counts tokens; compiled lazily, with at most ``states`` states and ``entries`` whole chunks remembered."""
 
-    def __init__(self, model_path: str, states: int = 300_000, entries: int = 600_000):
+    def __init__(self, model_path: str, states: int = 600_000, entries: int = 900_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -72,6 +94,8 @@ class Transducer:
         if not self.bytes:
             raise ValueError("this model has no byte fallback")
         self.longest = max(map(len, self.rank))
+        self.joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.ends: dict[str, int] = {}
         self.max_states, self.entries = states, entries
         self.forms: dict[str, tuple[str, str] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -82,12 +106,11 @@ class Transducer:
     def get(cls, model_path: str) -> Transducer:
         if model_path not in _compiled:
             _compiled[model_path] = cls(model_path)
+            gc.set_threshold(1_000_000, 50, 100)  # states are many, live long, and go only by _reset
         return _compiled[model_path]
 
     def _reset(self) -> None:
-        #: (state, character) -> (next state, tokens more); a state is a number, 0 the start of a chunk.
-        self.move: dict[tuple[int, str], tuple[int, int]] = {}
-        self.behind: list[tuple[int, str, str, int]] = [(-1, "", "", 0)]  # previous state, character, last token, count
+        self.start, self.made = State(_NONE, "", 0), 0
 
     # ---- what the merges do ----
 
@@ -117,57 +140,81 @@ class Transducer:
             found = self.forms[piece] = len(piece) == 1 or (piece in self.rank and self.merged(piece) == [piece])
         return found
 
-    def width(self, token: str) -> int:
-        """Tokens emitted for a piece; a character outside the vocabulary is spelled in bytes."""
-        return 1 if token in self.rank else len(token.encode())
-
     # ---- the transducer ----
 
-    def step(self, state: int, char: str) -> tuple[int, int]:
-        found = self.move.get((state, char))
+    def last_cut(self, word: str) -> int:
+        """Where the last characters that aren't letters begin, if no piece spans that place; else 0."""
+        at = len(word)
+        while at and not word[at - 1].isalpha():
+            at -= 1
+        return at if 0 < at < len(word) <= LONGEST and word[at - 1 : at + 1] not in self.joined else 0
+
+    def end(self, text: str) -> int:
+        """Tokens of the few kinds of character runs that words end with."""
+        found = self.ends.get(text)
         if found is None:
-            suffix, before = char, state
-            last = None
-            for _ in range(self.longest):
-                if self._whole(suffix) and (before == 0 or self._fits(self.behind[before][2], suffix)):
-                    last = (suffix, self.behind[before][3] + self.width(suffix))
-                    break
-                if before == 0:
-                    break
-                suffix, before = self.behind[before][1] + suffix, self.behind[before][0]
-            if last is None:
-                raise ValueError(f"no token ends in {suffix!r}")
-            self.behind.append((state, char, *last))
-            found = self.move[state, char] = (len(self.behind) - 1, last[1] - self.behind[state][3])
+            if len(self.ends) > 100_000:
+                self.ends.clear()
+            found = self.ends[text] = self._walk_long(text)
         return found
 
+    def _last(self, text: str, end: int, lasts: list[str], counts: list[int], base: int = 0) -> tuple[str, int]:
+        """The last token of text[:end], the one piece ending there that fits to what is before, and the count then.
+
+        lasts and counts are those of text[:base], text[:base + 1], ...
+        """
+        whole, fits = self.forms, self.fits
+        for n in range(1, min(self.longest, end) + 1):
+            piece = text[end - n : end]
+            good = whole.get(piece)
+            if good or (good is None and self._whole(piece)):
+                before = lasts[end - n - base]
+                good = fits.get((before, piece)) if before else True
+                if good or (good is None and self._fits(before, piece)):
+                    return piece, counts[end - n - base] + (1 if piece in self.rank else len(piece.encode()))
+        raise ValueError(f"no token ends in {text[max(0, end - 16) : end]!r}")
+
     def walk(self, chunk: str) -> int:
-        """Tokens of a chunk: the sum of what its transitions emit."""
-        if len(self.behind) > self.max_states:
-            self._reset()
-        state, total = 0, 0
+        """Tokens of a chunk: what the transitions from the start emit, summed up in the state they reach.
+
+        Compiled states are followed as far as they go; the rest of a chunk adds one state to them, so what chunks have
+        in common is compiled and what one alone has is not.
+        """
         if len(chunk) > LONGEST:
             return self._walk_long(chunk)
+        if self.made > self.max_states:
+            self._reset()
+            gc.collect()
+        state, lasts, counts = self.start, [""], [0]
         for char in chunk:
-            state, more = self.step(state, char)
-            total += more
-        return total
+            after = state.moves.get(char)
+            if after is None:
+                break
+            state = after
+            lasts.append(state.last)
+            counts.append(state.emitted)
+        known = len(lasts) - 1
+        for end in range(known + 1, len(chunk) + 1):
+            last, count = self._last(chunk, end, lasts, counts)
+            lasts.append(last)
+            counts.append(count)
+        if known < len(chunk):
+            if state.moves is _NONE:
+                state.moves = {}
+            state.moves[chunk[known]] = State(_NONE, lasts[known + 1], counts[known + 1])
+            self.made += 1
+        return counts[-1]
 
     def _walk_long(self, chunk: str) -> int:
-        """The same walk, keeping only the states that a piece can reach back to."""
-        lasts, counts = [""], [0]
+        """The same, keeping only what a piece can reach back to."""
+        lasts, counts, base = [""], [0], 0
         for end in range(1, len(chunk) + 1):
-            for n in range(1, min(self.longest, end) + 1):
-                piece = chunk[end - n : end]
-                k = len(lasts) - n
-                if self._whole(piece) and (not lasts[k] or self._fits(lasts[k], piece)):
-                    lasts.append(piece)
-                    counts.append(counts[k] + self.width(piece))
-                    break
-            else:
-                raise ValueError(f"no token ends in {chunk[max(0, end - 16) : end]!r}")
+            last, count = self._last(chunk, end, lasts, counts, base)
+            lasts.append(last)
+            counts.append(count)
             if len(lasts) > 4 * self.longest:
-                lasts, counts = lasts[-2 * self.longest :], counts[-2 * self.longest :]
+                drop = len(lasts) - 2 * self.longest
+                lasts, counts, base = lasts[drop:], counts[drop:], base + drop
         return counts[-1]
 
     def chunk(self, chunk: str) -> int:
