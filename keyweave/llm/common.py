@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch handed to Python ends at so many rows or bytes, so very long texts stay bounded.
-BATCH_ROWS, BATCH_BYTES = 4096, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 _sent: set[str] = set()

@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
     checked = anchors_of.where(F.size("checks") > 0).select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "checks")
-    unique = texts.join(checked, (F.col("id") == F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("id", "th", "text", "checks")
+    unique = texts.join(checked.hint("merge"), (F.col("id") == F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("id", "th", "text", "checks")
     suffixes = unique.mapInArrow(contexts, "gram binary, rest binary, id long, th long, place long, low long, high long, core binary")
     bucketed = suffixes.repartitionByRange(n, "gram", "rest").sortWithinPartitions("gram")
     compared = stored(bucketed.mapInArrow(_sorted_suffixes, f"kind boolean, one long, two long, {_SPAN}"), "compared")
@@ -368,6 +368,6 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), kind), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", last])
 
-    joined = texts.join(spans, (F.col("id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("id", "text", "spans")
+    joined = texts.join(spans.hint("merge"), (F.col("id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("id", "text", "spans")
     done = joined.mapInArrow(cut, f"id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}")
     return done.select(F.nullif("id", F.lit(_NULL_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", last)
