@@ -99,17 +99,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Class means and covariances from all labelled rows outside the held-out fold."""
     d = len(FEATURES)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = statistics(batch["text"])
+            lists = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, d, dtype=np.int32), rows.ravel())
+            yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "x"])
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            x, y = statistics(batch[0]), batch[1].to_numpy(zero_copy_only=False)
+            x, y = batch["x"].flatten().to_numpy().reshape(-1, d), batch["y"].to_numpy()
             for label in (0, 1):
                 part = x[y == label]
                 total[label] += np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()])
         yield pa.RecordBatch.from_pydict({"label": [0, 1], "sums": total.tolist()}, schema=pa.schema([("label", pa.int32()), ("sums", pa.list_(pa.float64()))]))
 
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id").select("text", "y")
+    training = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # statistics first: what is shuffled to the labels is then ten numbers a row, not texts
+    measured = training.mapInArrow(measure, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    rows = measured.join(marked, "id").select("x", "y")
     parts = rows.mapInArrow(sums, "label int, sums array<double>").select("label", F.posexplode("sums").alias("k", "v"))
     total = np.zeros((2, 1 + d + d * d))
     for r in parts.groupBy("label", "k").agg(F.sum("v").alias("v")).collect():  # two vectors of fixed length
