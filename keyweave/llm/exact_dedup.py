@@ -114,9 +114,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    groups = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
-    # one of repeated rows: those kept are unique by id and digest
-    marked = docs.withColumn("_own", sha)
-    joined = marked.join(groups, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    return joined.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    groups = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("g_id"), F.col("text_sha256").alias("g_sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACES, " "), 256)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("p_id"), sha.alias("p_sha"))
+    joined = packed.join(groups, F.col("p_id").eqNullSafe(F.col("g_id")) & (F.col("p_sha") == F.col("g_sha")))
+    # what is kept is unique by id and digest, so this takes one of repeated rows
+    return joined.dropDuplicates(["p_id", "p_sha"]).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -288,3 +288,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if apart.any():
             pairs = np.unique(np.column_stack([nodes[apart], centers[apart]]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of linked documents, the one with the smallest id, with all its columns."""
+    named = similarity_classes(docs.select(f"`{id_col}`", f"`{text_col}`"), width, percent, id_col, text_col)
+    stay = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["stay"]), "left_semi")

@@ -158,3 +158,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     scored = rows.mapInArrow(run, f"{schema}, _score double")
     predicted = F.when(F.col("_score") >= threshold, 1).otherwise(0)
     return scored.select(id_col, *keep, held_out(id_col).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows predicted to be good, with all their columns; null and empty texts are scored like others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(statistics(batch["text"])) >= threshold))
+
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    kept = packed.mapInArrow(run, packed.schema)
+    return kept.select(*(F.col("text" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -124,6 +124,20 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, ids_sha256, decoded_sha256): the ids themselves beside what identifies them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, codes in _encoded(batches, model_path, True, True):
+            texts = ChunkTable.get(model_path).decode(codes)
+            offsets = np.append(0, np.cumsum([len(x) // 4 for x in codes])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(codes), dtype="<i4"))
+            digests = ([hashlib.sha256(x).hexdigest() for x in codes], [hashlib.sha256(x.encode()).hexdigest() for x in texts])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(offsets).astype(np.int64)), ids, *(pa.array(d, pa.string()) for d in digests)], [id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    schema = f"{_field(docs, id_col)}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
 def _field(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
