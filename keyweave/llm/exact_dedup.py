@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, stored
@@ -78,31 +78,30 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     texts = docs.select(norm.alias("text"), F.col(id_col).alias("id")).select("text", "id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(texts.mapInArrow(run, f"id {kind}, sha string, n int, fp long"), "fingerprints")
-    rest = rows.groupBy("id", "sha", "fp", "n").agg(F.count("*").alias("repeats"))
+    rows = stored(texts.mapInArrow(run, f"id {kind}, sha string, n int, fp long"), "fingerprints").withColumn("key", _key("id"))
+    rest = rows.groupBy("key", "sha", "fp", "n").agg(F.first("id").alias("id"), F.count("*").alias("repeats"))
     solved = None
     while True:
         first = rest.groupBy("fp", "n").agg(F.min("id").alias("keep"), F.sum("repeats").alias("size")).where("size > 1")
-        members = rest.join(first.drop("size"), ["fp", "n"])
-        named = members.select(F.col("id").alias("m_id"), F.col("sha").alias("m_sha"), "fp", F.col("n").alias("m_n"), "repeats", "keep")
-        paired = texts.join(named, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("sha") == F.col("m_sha")))
-        own = paired.dropDuplicates(["id", "sha"]).select("id", "sha", "fp", "n", "repeats", "keep", "text")
+        members = rest.join(first.drop("size"), ["fp", "n"]).drop("id")
+        # dealt by id and digest at every size, so that the plan doesn't change as the corpus grows
+        paired = texts.drop("n").withColumn("key", _key("id")).join(members.hint("merge"), ["key", "sha"])
+        own = paired.dropDuplicates(["key", "sha"])
         heads = own.where(F.col("id").eqNullSafe(F.col("keep")))
-        head = heads.groupBy("fp", "n").agg(F.min("sha").alias("sha"))
-        canon = heads.join(head, ["fp", "n", "sha"]).select("fp", "n", F.col("text").alias("first_text"))
-        compared = own.join(canon, ["fp", "n"]).select("id", "sha", "fp", "n", "repeats", "keep", (F.col("text") == F.col("first_text")).alias("same"))
+        head = heads.groupBy("fp", "n").agg(F.min_by("text", "sha").alias("first_text"))
+        compared = own.join(head, ["fp", "n"]).select("id", "key", "sha", "fp", "n", "repeats", "keep", (F.col("text") == F.col("first_text")).alias("same"))
         compared = stored(compared, "compared")
-        equal = compared.where("same").drop("same")
+        equal = compared.where("same").drop("same", "fp", "n")
         solved = equal if solved is None else solved.unionByName(equal)
         rest = compared.where("NOT same").drop("same", "keep")
         if rest.isEmpty():
             break
-    sizes = solved.groupBy("sha", "keep").agg(F.sum("repeats").alias("size"))
-    found = solved.join(sizes.select(F.col("sha").alias("s_sha"), "keep", "size").withColumnRenamed("keep", "s_keep"), (F.col("sha") == F.col("s_sha")) & F.col("keep").eqNullSafe(F.col("s_keep")))
-    found = found.select(F.col("id").alias("f_id"), F.col("sha").alias("f_sha"), "keep", "size")
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("sha") == F.col("f_sha")), "left")
-    nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy("n"))
-    keep = F.when(F.col("f_sha").isNull(), F.col("id")).otherwise(F.col("keep"))
+    solved = solved.withColumn("keep_key", _key("keep")).drop("id")
+    sizes = solved.groupBy("sha", "keep_key").agg(F.sum("repeats").alias("size"))
+    found = solved.join(sizes, ["sha", "keep_key"]).select("key", "sha", "keep", "size")
+    joined = rows.join(found, ["key", "sha"], "left")
+    nth = F.row_number().over(Window.partitionBy("key", "sha").orderBy("n"))
+    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return joined.withColumn("nth", nth).select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
@@ -112,11 +111,16 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _key(id_col: str) -> Column:
+    """An id to join by that is never null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    groups = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("g_id"), F.col("text_sha256").alias("g_sha"))
+    groups = duplicate_groups(docs.select(f"`{id_col}`", f"`{text_col}`"), id_col, text_col).where("kept").select(_key(id_col).alias("key"), F.col("text_sha256").alias("sha"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACES, " "), 256)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("p_id"), sha.alias("p_sha"))
-    joined = packed.join(groups, F.col("p_id").eqNullSafe(F.col("g_id")) & (F.col("p_sha") == F.col("g_sha")))
-    # what is kept is unique by id and digest, so this takes one of repeated rows
-    return joined.dropDuplicates(["p_id", "p_sha"]).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _key(f"`{id_col}`").alias("key"), sha.alias("sha"))
+    joined = packed.join(groups.hint("merge"), ["key", "sha"])
+    # what is kept is unique by id and digest, so this takes one of repeated rows, where the join has put them
+    return joined.dropDuplicates(["key", "sha"]).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
