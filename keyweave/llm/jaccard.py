@@ -259,7 +259,8 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         units = units.select("node", "block", "first", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     else:
         units = units.select("node", "block", "first", F.lit(0).alias("one"), F.lit(0).alias("two"))
-    work = texts.join(units, F.col("id").eqNullSafe(F.col("first"))).select("block", "one", "two", "node", "text")
+    # texts are dealt by id at every size, so that the plan doesn't change as the corpus grows
+    work = texts.join(units.hint("merge"), F.col("id").eqNullSafe(F.col("first"))).select("block", "one", "two", "node", "text")
     work = work.repartition(partitions(spark), "block", "one", "two").sortWithinPartitions("block", "one", "two")
     ties = stored(work.mapInArrow(search, "a long, b long"), "ties")
     roots = connected(ties)
