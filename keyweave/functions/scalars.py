@@ -33,8 +33,9 @@ def header_value(headers: Column, name: str, kind: str) -> Column:
         digits = F.hex(raw)
         turned = F.concat(*(F.substring(digits, 2 * size - 1 - 2 * k, 2) for k in range(size)))
         number = F.conv(turned, 16, 10).cast("decimal(20,0)")
-        whole = F.lit(2 ** (8 * size)).cast("decimal(20,0)")
-        signed = F.when(number >= whole / 2, number - whole).otherwise(number)
+        whole = F.lit(str(2 ** (8 * size))).cast("decimal(20,0)")
+        half = F.lit(str(2 ** (8 * size - 1))).cast("decimal(20,0)")
+        signed = F.when(number >= half, number - whole).otherwise(number)
         return F.when(F.length(raw) == size, signed.cast(kind))
     if kind == "uuid":
         text = F.decode(raw, "UTF-8")
