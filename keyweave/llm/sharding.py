@@ -86,7 +86,7 @@ def save_map(slot_map: DataFrame, folder: str) -> None:
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    versions = spark.read.parquet(folder)
+    versions = spark.read.schema("vslot int, shard int, n_bytes bigint, n_rows bigint, version int").parquet(folder)
     if version is None:
         version = versions.agg(F.max("version")).first()[0]
     return versions.where(F.col("version") == version)

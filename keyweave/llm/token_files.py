@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 LONGEST = 64
 #: Sequences in a record batch.
 BATCH = 1024
+MANIFEST = "part int, name string, n_docs long, n_tokens long"
 #: Letters of Latin scripts, lower case; anything outside ASCII and these scripts; what ends a word after its letters.
 _LETTERS = re.compile("[a-zß-öø-ɏ]+").fullmatch
 _OTHER = re.compile("[^\\x00-\u00a9\u00ab-\u0129\u0131-\u024f]").search
@@ -215,7 +216,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, files: str, end_id: in
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "part int, name string, n_docs long, n_tokens long")
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST)
 
 
 def read_documents(manifest: DataFrame, files: str) -> DataFrame:
@@ -241,4 +242,4 @@ def read_documents(manifest: DataFrame, files: str) -> DataFrame:
 def sequences_of(spark: SparkSession, docs: DataFrame, tokenizer_path: str, files: str, manifest_path: str, **options) -> DataFrame:
     """Write the files and their manifest, then read the documents back."""
     write_sequences(docs, tokenizer_path, files, **options).write.parquet(manifest_path)
-    return read_documents(spark.read.parquet(manifest_path), files)
+    return read_documents(spark.read.schema(MANIFEST).parquet(manifest_path), files)
