@@ -6,12 +6,17 @@ A document is the set of its distinct shingles as 64-bit hashes; documents with
    space is cut into D + 3 ranges, so such sets agree on three ranges at least. A set has one signature for each range
    (and size class, its own and the next); sharing a signature makes two sets candidates. Sets that share a signature
    are tied to the first of them (a star, not all pairs), and the components of these ties are closed under links.
+   At low similarities ranges hold few shingles, so a shared passage would tie everything; then candidates come from
+   prefixes (3.) of all documents at once.
 2. Links, inside each such block of candidates, by T-occurrence search: sets go by size, each is a query against the
    inverted lists of those before it. A set similar to it shares T elements; of its lists the T - 1 longest are left
    aside, the short ones merged, and what is found there probed for in the long ones by binary search (all lists are
    merged where that is less work). Sets already in the query's class are skipped.
-3. A block with more than UNIT shingles in all is cut into chunks; each pair of chunks is a unit of work, and the ties
-   found are contracted again. So no task holds more than two chunks, and no candidate is dropped.
+3. Documents of a block with more than UNIT shingles in all (shared passages can chain many) are tied anew, by prefixes:
+   with shingles ordered by how many of these documents have them, rare ones first, similar sets share one among their
+   first |x| - T + 1. Components of those ties are the blocks then.
+4. A block that is still too large is cut into chunks; each pair of chunks is a unit of work, and the ties found are
+   contracted again. So no task holds more than UNIT shingles, and no candidate is dropped.
 
 Defined results: null texts count as empty; a set without shingles is empty and linked with nothing, its class is its
 own id; where an id repeats, each row has the class of its text; a null id counts as smaller than any other; an empty
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, byte_class, mix, partitions, stored, word_hashes
@@ -32,7 +37,9 @@ from .components import connected
 
 WORD = byte_class(lambda b: not (b == 32 or 9 <= b <= 13))
 #: Shingles that a unit of work may hold; ranges beyond those that can differ, less one.
-UNIT, SPARE = 8_000_000, 2
+UNIT, SPARE = 2_000_000, 2
+#: Shingles that a range must hold on average for signatures to tell documents apart that merely share a passage.
+RANGE = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY = np.uint64(0xA0761D6478BD642F)
 
@@ -132,13 +139,15 @@ def classes_in(sets: list[np.ndarray], percent: int) -> np.ndarray:
     ranked = [sets[i] for i in order]
     at = np.append(0, np.cumsum(sizes))
     tokens = np.concatenate(ranked) if n else np.zeros(0, dtype=np.uint64)
-    owner = np.repeat(np.arange(n), sizes)
-    by_token = np.argsort(tokens, kind="stable")
-    sorted_tokens, lists = tokens[by_token], owner[by_token]  # each inverted list ascends
-    starts_list = np.append(True, sorted_tokens[1:] != sorted_tokens[:-1])[: len(tokens)]
-    list_start = np.maximum.accumulate(np.where(starts_list, np.arange(len(tokens)), 0))
-    place = np.empty(len(tokens), dtype=np.int64)
-    place[by_token] = np.arange(len(tokens))
+    by_token = np.argsort(tokens, kind="stable").astype(np.int32)
+    lists = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_token]  # each inverted list ascends
+    tokens = tokens[by_token]
+    numbers = np.arange(len(tokens), dtype=np.int32)
+    list_start = np.maximum.accumulate(np.where(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)], numbers, 0))
+    del tokens
+    place = np.empty_like(numbers)
+    place[by_token] = numbers
+    del by_token
     for x in range(1, n):
         size = int(sizes[x])
         need = -(-percent * size // 100)  # T: any similar set, not larger, shares so many
@@ -245,22 +254,32 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("unnamed"), F.first("n").alias("n"))
     nodes = nodes.withColumn("first", F.when(F.col("unnamed"), F.lit(None)).otherwise(F.col("first"))).drop("unnamed")
 
-    keys = texts.select("text", F.lit(0).alias("id")).mapInArrow(sign, "key long, node long").repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-    edges = keys.mapInArrow(_stars, "a long, b long").distinct()
-    blocks = connected(edges)
+    own = texts.select("text", F.lit(0).alias("id"))
+    if RANGE * 2 * (100 - percent) <= 100 + percent:
+        blocks = connected(_ties(own.mapInArrow(sign, "key long, node long")))
+    else:
+        blocks = connected(_ties(_prefixes(own.mapInArrow(_exploded(width, False), "key long, node long, n long"), percent)))
     members = stored(blocks.join(nodes, "node").select("node", F.col("root").alias("block"), "first", "n"), "members")
-    sizes = members.groupBy("block").agg(F.sum("n").alias("total")).select("block", F.ceil(F.col("total") / unit).cast("int").alias("chunks"))
-    large = sizes.where("chunks > 1")
-    cut = not large.isEmpty()
+    sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
+    large = sizes.where(F.col("total") > unit).select("block")
+    if RANGE * 2 * (100 - percent) <= 100 + percent and not large.isEmpty():
+        rest = members.join(large, "block", "left_anti")
+        wide = stored(members.join(large, "block", "left_semi"), "large")
+        shingles = _with_texts(texts, wide.select("node", "first")).mapInArrow(_exploded(width, True), "key long, node long, n long")
+        tied = connected(_ties(_prefixes(shingles, percent)))
+        again = tied.join(wide.drop("block"), "node").select("node", F.col("root").alias("block"), "first", "n")
+        members = stored(rest.select("node", "block", "first", "n").unionByName(again), "members")
+        sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
+    # two chunks make a unit
+    sizes = sizes.select("block", F.when(F.col("total") > unit, F.ceil(2 * F.col("total") / unit)).otherwise(1).cast("int").alias("chunks"))
     units = members.join(sizes, "block")
-    if cut:
+    if not sizes.where("chunks > 1").isEmpty():
         chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
         units = units.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         units = units.select("node", "block", "first", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     else:
         units = units.select("node", "block", "first", F.lit(0).alias("one"), F.lit(0).alias("two"))
-    # texts are dealt by id at every size, so that the plan doesn't change as the corpus grows
-    work = texts.join(units.hint("merge"), F.col("id").eqNullSafe(F.col("first"))).select("block", "one", "two", "node", "text")
+    work = _with_texts(texts, units)
     work = work.repartition(partitions(spark), "block", "one", "two").sortWithinPartitions("block", "one", "two")
     ties = stored(work.mapInArrow(search, "a long, b long"), "ties")
     roots = connected(ties)
@@ -269,11 +288,71 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     least = firsts.groupBy("root").agg(F.min("first").alias("least"), F.max(F.col("first").isNull()).alias("unnamed"))
     least = least.select("root", F.when(F.col("unnamed"), F.lit(None)).otherwise(F.col("least")).alias("least"))
     named = nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component"))
-    joined = rows.join(named, "node", "left")
+    # stored, so that an adaptive join can split the copies of a hot set
+    joined = rows.join(stored(named, "named"), "node", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _with_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes with the text of their first document; dealt by id at every size, so that the plan is the same for any corpus."""
+    return texts.join(nodes.hint("merge"), F.col("id").eqNullSafe(F.col("first"))).drop("id", "first")
+
+
+def _ties(keys: DataFrame) -> DataFrame:
+    """Edges (a, b) from (key, node): what shares a key is tied to the first of it."""
+    dealt = keys.repartition(partitions(keys.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(_stars, "a long, b long").distinct()
+
+
+def _exploded(width: int, named: bool):
+    """A function of batches that gives (key, node, n): every shingle of every set, which has n; named: of these nodes only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, width):
+            held = [(node_of(s), s) for s in sets if len(s)]
+            if named:
+                held = [(node, s) for node, s in zip(batch["node"].to_pylist(), sets, strict=True) if node_of(s) == node]
+            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *(s for _, s in held)]).view(np.int64)
+            sizes = np.array([len(s) for _, s in held], dtype=np.int64)
+            names = np.array([n for n, _ in held], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(sizes, sizes))], ["key", "node", "n"])
+
+    return run
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the shingles that a set must share one of with any similar set, by how rare they are among these.
+
+    Rows may repeat (documents with equal sets); ``shared`` are a set's shingles that other sets have too.
+    """
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (node, df, key, n) sorted by node, df and key, without shingles of one document: the first ones."""
+        last, left = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, n, shared = (batch[c].to_numpy() for c in ("node", "n", "shared"))
+            fresh = np.append(node[0] != last, node[1:] != node[:-1])
+            first = np.flatnonzero(fresh)
+            group = np.cumsum(fresh) - 1
+            # |x| - T + 1 places, the rarest shingles (of one document) have taken theirs
+            room = n - -(-percent * n // 100) + 1 - (n - shared)
+            nth = np.arange(len(node)) - np.append(0, first)[group + 1] if len(first) else np.arange(len(node))
+            carried = group < 0
+            nth = np.where(carried, np.arange(len(node)) + left, nth)
+            keep = nth < room
+            last = node[-1]
+            left = int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(keep)), batch["node"].filter(pa.array(keep))], ["key", "node"])
+
+    by_key = Window.partitionBy("key")
+    before = F.lag("node").over(by_key.orderBy("node"))
+    marked = rows.withColumn("fresh", F.when(before.isNull() | (before != F.col("node")), 1).otherwise(0))
+    counted = marked.withColumn("df", F.sum("fresh").over(by_key)).where("df > 1 AND fresh = 1").drop("fresh")
+    by_node = counted.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    return by_node.select("node", "df", "key", "n", "shared").sortWithinPartitions("node", "df", "key").mapInArrow(shortest, "key long, node long")
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, node): each further node of a key with the first one."""
     last_key, center = None, None
