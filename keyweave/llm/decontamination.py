@@ -214,20 +214,24 @@ def _shards(texts: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
-    """The text, the other columns as struct ``doc``, ``n_words``, merged ``spans`` and the sorted names of ``items``."""
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, result: str = "spans") -> DataFrame:
+    """The other columns of docs as struct ``doc``, ``n_words``, merged ``spans``, the sorted names of ``items``; the text if asked.
+
+    ``result``: spans; text (the text besides); or cut, where the text has every hit span replaced by one blank, and documents
+    without another word are left out.
+    """
     queries = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = docs.select(F.struct(*others).alias("doc"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = docs.select(F.struct(*others).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for k in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect()  # a bounded part of the query set
         search = docs.sparkSession.sparkContext.broadcast(windows([tuple(r) for r in block], size))
-        last = k == blocks - 1 and not keep_text
-        schema = StructType([f for f in out.schema if not (last and f.name == "text")])
+        last = k == blocks - 1
+        schema = StructType([f for f in out.schema if not (last and result == "spans" and f.name == "text")])
 
-        def run(batches: Iterator[pa.RecordBatch], search=search, names=tuple(schema.names)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], search=search, names=tuple(schema.names), cut=last and result == "cut") -> Iterator[pa.RecordBatch]:
             w = search.value
             for batch in batches:
                 words, spans, items = [], [], []
@@ -237,15 +241,34 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
                 kind = batch.schema.field("spans").type
                 fields = [f.name for f in kind.value_type]
                 earlier = [[tuple(s[f] for f in fields) for s in row] for row in batch["spans"].to_pylist()]
-                merged = [[dict(zip(fields, s, strict=True)) for s in _merge(a + b)] for a, b in zip(earlier, spans, strict=True)]
+                merged = [_merge(a + b) for a, b in zip(earlier, spans, strict=True)]
                 named = [sorted({*a, *b}) for a, b in zip(batch["items"].to_pylist(), items, strict=True)]
-                new = {"n_words": pa.array(words, pa.int64()), "spans": pa.array(merged, kind), "items": pa.array(named, batch.schema.field("items").type)}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch[c] for c in names], names)
+                new = {"n_words": pa.array(words, pa.int64()), "spans": pa.array([[dict(zip(fields, s, strict=True)) for s in row] for row in merged], kind), "items": pa.array(named, batch.schema.field("items").type)}
+                if cut:
+                    new["text"] = _cut(batch["text"], merged)
+                done = pa.RecordBatch.from_arrays([new[c] if c in new else batch[c] for c in names], names)
+                if cut:
+                    done = done.filter(pa.array([not row or sum(s[1] - s[0] for s in row) < n for row, n in zip(merged, words, strict=True)], pa.bool_()))
+                yield done
 
         out = out.mapInArrow(run, schema)
     return out
 
 
+def _cut(texts: pa.Array, spans: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    if not any(spans):
+        return texts
+    out = texts.to_pylist()
+    for k, row in enumerate(spans):
+        if row:
+            raw, parts, at = out[k].encode(), [], 0
+            for _, _, first, end in row:
+                parts.append(raw[at:first])
+                at = end
+            out[k] = b" ".join([*parts, raw[at:]]).decode()
+    return pa.array(out, texts.type)
+
+
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
@@ -253,28 +276,14 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(F.col(f"doc.{id_col}"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def without_hits(found: DataFrame, columns: list[str], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The documents, as ``columns``, with every hit span replaced by one blank; those without another word go."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for k, spans in enumerate(batch["spans"].to_pylist()):
-                if spans:
-                    raw, parts, at = texts[k].encode(), [], 0
-                    for s in spans:
-                        parts.append(raw[at : s["first_byte"]])
-                        at = s["end_byte"]
-                    texts[k] = b" ".join([*parts, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in batch.schema.names], batch.schema.names)
-
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
-    kept = found.where((F.size("spans") == 0) | (hit < F.col("n_words"))).select("doc", "text", "spans")
-    shortened = kept.mapInArrow(cut, kept.schema)
+def without_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The documents, all columns, with hit spans cut out of the texts; where a text is cut, ``length_col`` is set anew."""
+    found = find(docs, benchmark, size, text_col, result="cut", **options)
 
     def column(c: str):
         if c == text_col:
             return F.col("text").alias(c)
         own = F.col(f"doc.`{c}`")
-        return (F.when(F.size("spans") > 0, F.length("text").cast(found.schema["doc"].dataType[c].dataType)).otherwise(own) if c == length_col else own).alias(c)
+        return (F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == length_col else own).alias(c)
 
-    return shortened.select(*map(column, columns))
+    return found.select(*map(column, docs.columns))

@@ -50,7 +50,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.digests(decontamination.find(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+    return decontamination.digests(decontamination.find(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

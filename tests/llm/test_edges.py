@@ -262,7 +262,7 @@ def brute_hits(docs, items, size=10):
 @pytest.mark.parametrize("block", [1 << 20, 20])
 def test_decontamination(docs, bench, block):
     assert results(decontamination.digests(decontamination.find(docs, bench, block_bytes=block))) == brute_hits(DOCS, BENCH)
-    cut = decontamination.without_hits(decontamination.find(docs, bench, block_bytes=block), docs.columns)
+    cut = decontamination.without_hits(docs, bench, block_bytes=block)
     left = {r.doc_id: r.text for r in cut.collect()}
     assert cut.columns == docs.columns and left[1] == "The quick brown fox jumps over  ." or left[1].startswith("The quick brown fox jumps over")
     assert left[5] == LONG and left[2] is None and left[None].split() == ["a"]
