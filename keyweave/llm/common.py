@@ -14,7 +14,6 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: An Arrow batch handed to Python ends at so many rows or bytes, so very long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -92,9 +91,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def one_per_task(df: DataFrame, by: str) -> DataFrame:
-    """Spread few rows, each of them much work, over tasks of their own as far as tasks go."""
-    return df.repartition(max(partitions(df.sparkSession), 1), F.col(by))
+def pieces(batches, rows: int = 128):
+    """Batches cut small, so that what a worker makes of one stays small: workers live on and keep what they once took."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 # ---- words and their hashes, a whole batch of texts at a time ----

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, byte_class, word_hashes
+from .common import batch_bytes, byte_class, pieces, word_hashes
 
 #: Shares of the diagonal and of the identity (times the mean variance of both classes) in a covariance.
 SHRINK, RIDGE = 0.2, 0.05
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = len(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = statistics(batch["text"])
             lists = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, d, dtype=np.int32), rows.ravel())
             yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "x"])
@@ -148,7 +148,7 @@ def from_sums(total: np.ndarray, shrink: float = SHRINK, ridge: float = RIDGE) -
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, held_out, score, predicted) of every row, and the columns named in keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             scores = pa.array(model.scores(statistics(batch["_text"])), pa.float64())
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), scores], [*rest, "_score"])
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows predicted to be good, with all their columns; null and empty texts are scored like others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(model.scores(statistics(batch["text"])) >= threshold))
 
     others = [c for c in docs.columns if c != text_col]

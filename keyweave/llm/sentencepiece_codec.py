@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 MARK = "▁"
 LONGEST = 64
 _CHUNK = re.compile(" +[^ ]*")
@@ -31,7 +33,7 @@ _tables: dict[str, ChunkTable] = {}
 class ChunkTable:
     """Distinct chunks and their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, model_path: str, table_entries: int = 400_000):
+    def __init__(self, model_path: str, table_entries: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -68,8 +70,8 @@ class ChunkTable:
             self.known = {"": self.lone}
         new = list(set().union(*split).difference(self.known))
         found = {}
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
             for chunk, ids in zip(part, self.model.encode(part, num_threads=1), strict=True):
                 found[chunk] = np.array(ids, dtype="<u4").tobytes()
         self.known |= found
@@ -98,7 +100,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) from (id, ids); null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = ChunkTable.get(model_path).model.decode([x or [] for x in batch[1].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(texts or [], pa.string())], [id_col, "text"])
 
@@ -146,5 +148,5 @@ def _encoded(batches: Iterator[pa.RecordBatch], model_path: str, begin: bool, en
     chunks = ChunkTable.get(model_path)
     head = np.array([chunks.model.bos_id()] * begin, dtype="<u4").tobytes()
     tail = np.array([chunks.model.eos_id()] * end, dtype="<u4").tobytes()
-    for batch in batches:
+    for batch in pieces(batches):
         yield batch, [head + x + tail for x in chunks.encode(batch[1].fill_null("").to_pylist())]
