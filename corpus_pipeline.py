@@ -41,8 +41,7 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), size=10)
-    return decontamination.without_hits(found, docs.columns)
+    return decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"), size=10)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
