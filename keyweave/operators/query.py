@@ -287,10 +287,8 @@ def strict_unique(df: DataFrame, index: Column, sequence: Column) -> DataFrame:
 
 def index_extreme(df: DataFrame, index: Column, key: Column, least: bool = True) -> DataFrame:
     """(index_value, key) of the least or greatest index value; ties by the least key."""
-    best = F.min if least else F.max
-    rows = df.select(index.alias("v"), key.alias("k")).where("v IS NOT NULL")
-    pick = rows.agg((best(F.struct("v", "k")) if least else F.min_by(F.struct("v", "k"), F.struct((-F.col("v")).alias("v"), F.col("k")))).alias("x"))
-    return pick.where("x IS NOT NULL").select(F.col("x.v").alias("index_value"), F.col("x.k").alias("key"))
+    rows = df.select(index.alias("index_value"), key.alias("key")).where("index_value IS NOT NULL")
+    return rows.orderBy(F.col("index_value").asc() if least else F.col("index_value").desc(), "key").limit(1)
 
 
 def prefix_page(df: DataFrame, prefix: Column, sort: list[Column], key: Column, skip: int, take: int) -> DataFrame:
