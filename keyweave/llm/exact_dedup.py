@@ -8,7 +8,8 @@ strings runs over both in words and stops at the first difference). Texts that d
 form the next round, until every text has met an equal one or is the first of its kind.
 
 Only ids, fingerprints and digests of all rows are shuffled; texts only once by id, and of those the duplicates once by
-fingerprint, where a large group is split by adaptive skew joins, since its side of one text can be repeated.
+fingerprint. What groups have one row of (first id, first text, size) is stored before it is joined to their members, so
+that an adaptive join can split the members of a large group.
 
 Defined results: null texts count as empty and equal the empty text; among equal texts the row with the smallest id
 stays, a null id only among null ids; of rows that repeat an id and a text, one stays (if that id stays); an empty
@@ -82,13 +83,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = rows.groupBy("key", "sha", "fp", "n").agg(F.first("id").alias("id"), F.count("*").alias("repeats"))
     solved = None
     while True:
-        first = rest.groupBy("fp", "n").agg(F.min("id").alias("keep"), F.sum("repeats").alias("size")).where("size > 1")
-        members = rest.join(first.drop("size"), ["fp", "n"]).drop("id")
+        first = rest.groupBy("fp", "n").agg(F.min("id").alias("keep"), F.sum("repeats").alias("size")).where("size > 1").drop("size")
+        members = rest.join(stored(first, "first"), ["fp", "n"]).drop("id")
         # dealt by id and digest at every size, so that the plan doesn't change as the corpus grows
         paired = texts.drop("n").withColumn("key", _key("id")).join(members.hint("merge"), ["key", "sha"])
         own = paired.dropDuplicates(["key", "sha"])
         heads = own.where(F.col("id").eqNullSafe(F.col("keep")))
-        head = heads.groupBy("fp", "n").agg(F.min_by("text", "sha").alias("first_text"))
+        head = stored(heads.groupBy("fp", "n").agg(F.min_by("text", "sha").alias("first_text")), "head")
         compared = own.join(head, ["fp", "n"]).select("id", "key", "sha", "fp", "n", "repeats", "keep", (F.col("text") == F.col("first_text")).alias("same"))
         compared = stored(compared, "compared")
         equal = compared.where("same").drop("same", "fp", "n")
@@ -97,7 +98,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if rest.isEmpty():
             break
     solved = solved.withColumn("keep_key", _key("keep")).drop("id")
-    sizes = solved.groupBy("sha", "keep_key").agg(F.sum("repeats").alias("size"))
+    sizes = stored(solved.groupBy("sha", "keep_key").agg(F.sum("repeats").alias("size")), "sizes")
     found = solved.join(sizes, ["sha", "keep_key"]).select("key", "sha", "keep", "size")
     joined = rows.join(found, ["key", "sha"], "left")
     nth = F.row_number().over(Window.partitionBy("key", "sha").orderBy("n"))
