@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -602,6 +604,14 @@ def last_update_exact(r):
 # ---- equality, sets, figures, dumps ----
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where everything runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (top or Path(tempfile.gettempdir(), "keyweave").as_uri()).rstrip("/")
+
+
 @query("SELECT a.user_id AS key, a.event_id AS seq, NOT (b.event_id IS NULL) AS has_twin FROM events a LEFT JOIN (SELECT event_type, value, min(event_id) AS event_id FROM events GROUP BY ALL HAVING count(*) > 1) b ON a.event_type = b.event_type AND a.value = b.value")
 def structural_equality(r):
     log = c.load(r.spark, r.sf_dir, "events").select("event_id", "user_id", F.struct("event_type", "value", "props").alias("v"))
@@ -623,11 +633,8 @@ def index_stats(r):
 
 @query("SELECT user_id AS key, count(*)::BIGINT AS n, max(event_id) AS last_offset FROM events GROUP BY user_id")
 def dump_roundtrip(r):
-    from pathlib import Path
-
     spark = r.spark
-    top = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "keyweave-dumps").as_uri()
-    path = f"{top.rstrip('/')}/dump-{spark.sparkContext.applicationId}"
+    path = f"{_shared(spark)}/dump-{spark.sparkContext.applicationId}"
     dump.create_dump(c.event_log(spark, r.sf_dir), path)
     return dump.load_dump(spark, path).groupBy("key").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
@@ -635,15 +642,11 @@ def dump_roundtrip(r):
 @query(f"SELECT user_id AS key, arg_max(event_type, event_id) AS event_type, arg_max(score, event_id) AS score FROM {_FEED} WHERE update_type IN ('Add', 'Update', 'Delete') GROUP BY user_id HAVING NOT arg_max(gone, event_id)")
 def stream_fold(r):
     """The stateful stream run over the whole log, and its feed folded: the same rows as the batch fold."""
-    import uuid
-    from pathlib import Path
-
     from ..sources.config import read_changelog
     from ..streaming.upsert import Follower, ParquetTable, stream_feed
 
     spark = r.spark
-    top = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "keyweave-streams").as_uri()
-    folder = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     log = c.event_log(spark, r.sf_dir)
     log.write.parquet(f"{folder}/log")
     feed = stream_feed(read_changelog(spark, f"{folder}/log", log.schema, stream=True), c.EVENT)
