@@ -340,7 +340,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
     checked = anchors_of.where(F.size("checks") > 0).select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "checks")
-    unique = texts.join(checked.hint("merge"), (F.col("id") == F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("id", "th", "text", "checks")
+    once = texts.dropDuplicates(["id", "th"])  # else a copy of a row would make its own windows later ones
+    unique = once.join(checked.hint("merge"), (F.col("id") == F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("id", "th", "text", "checks")
     suffixes = unique.mapInArrow(contexts, "gram binary, rest binary, id long, th long, place long, low long, high long, core binary")
     bucketed = suffixes.repartitionByRange(n, "gram", "rest").sortWithinPartitions("gram")
     compared = stored(bucketed.mapInArrow(_sorted_suffixes, f"kind boolean, one long, two long, {_SPAN}"), "compared")

@@ -167,6 +167,17 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     assert suffix_dedup.kept_bytes(df).count() == len(DOCS) + len(more)
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Copies of a document that comes first keep a passage which a later document shares; only the later one loses it."""
+    passage = "".join(hashlib.sha256(f"p{k}".encode()).hexdigest() for k in range(6))
+    rows = [(i, f"begin {c} {c * 30} " + passage + f" {c * 30} end {c}", "") for i, c in ((1, "a"), (1, "a"), (1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"))]
+    df = prepared(spark).createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_kept({(i, t) for i, t, _ in rows})
+    got = results(suffix_dedup.kept_bytes(df))
+    assert sorted(set(got), key=repr) == want and len(got) == len(rows)
+    assert {r[0]: r[2] >= len(passage) for r in got} == {None: False, 1: True, 2: True}
+
+
 def test_suffix_buckets_of_any_size():
     """Small blocks and buckets, so that groups cross borders, against one bucket."""
     import numpy as np
