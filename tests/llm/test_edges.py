@@ -178,6 +178,17 @@ def test_suffix_dedup_of_repeated_rows(spark):
     assert {r[0]: r[2] >= len(passage) for r in got} == {None: False, 1: True, 2: True}
 
 
+def test_suffix_dedup_of_texts_without_an_id(spark):
+    """Texts under the null id whose 32-bit hashes (Murmur3) agree are two documents: only the one with a repeat is cut."""
+    digits = lambda *names: "".join(hashlib.sha256(n.encode()).hexdigest() for n in names)
+    rows = []
+    for i, j in ((406, 66580), (36490, 91164)):
+        rows += [(None, digits(f"a{i} 0", f"a{i} 1") * 2, ""), (None, digits(*(f"b{j} {k}" for k in range(4))), "")]
+    df = prepared(spark).createDataFrame(rows, SCHEMA)
+    assert df.select(F.hash("text")).distinct().count() == 2 and len({t for _, t, _ in rows}) == 4
+    assert results(suffix_dedup.kept_bytes(df)) == brute_kept({(i, t) for i, t, _ in rows})
+
+
 def test_suffix_buckets_of_any_size():
     """Small blocks and buckets, so that groups cross borders, against one bucket."""
     import numpy as np
