@@ -2,13 +2,15 @@
 
 The tokenizer of a byte-pair model with whitespace markers is compiled, as far as texts need it, into a
 deterministic transducer over characters. A state stands for what has been read of a chunk (chunks begin at a run of
-markers, which no piece crosses). A transition emits the change in the number of tokens, and a state holds the sum of
-what the path to it emits. A state's last token is found among the pieces that end there: the only one which, next to
-the last token before it, the merges leave as it is.
+markers, which no piece crosses). Every state that a walk passes is compiled, and the transition to it carries the
+change in the number of tokens; the changes along a path add up to the count. A state's last token is found among the
+pieces that end there: the only one which, next to the last token before it, the merges leave as it is. Chunks met
+before are answered from a table: a path from start to start, taken as one transition.
 
 A block of text acts on the transducer as a map of states: a block with a chunk border sends every incoming state,
 after its head, to one outgoing state; a block without one extends the chunk. Such maps are (head, tokens inside,
-tail) and compose associatively, so blocks of one text can be scanned in parallel and combined in a tree.
+tail) and compose associatively, so blocks of one text can be scanned in any order and combined in a tree;
+here one task does that for a text.
 
 Defined results: a null text counts as empty: 0 bytes, 0 tokens; repeated rows each give a row; an empty table gives
 an empty table; extra columns are ignored.
@@ -41,18 +43,6 @@ class StateMap(NamedTuple):
     tail: str | None
 
 
-_NONE: dict[str, State] = {}
-
-
-class State:
-    """What has been read of a chunk: the last token and the tokens emitted on the way here."""
-
-    __slots__ = ("emitted", "last", "moves")
-
-    def __init__(self, moves: dict[str, State], last: str, emitted: int):
-        self.moves, self.last, self.emitted = moves, last, emitted
-
-
 class Words(dict):
     """Tokens of chunks that begin with one marker, by the rest: paths from start to start, taken as one transition.
 
@@ -106,11 +96,13 @@ class Transducer:
     def get(cls, model_path: str) -> Transducer:
         if model_path not in _compiled:
             _compiled[model_path] = cls(model_path)
-            gc.set_threshold(1_000_000, 50, 100)  # states are many, live long, and go only by _reset
+            gc.set_threshold(1_000_000, 50, 100)  # transitions are many, live long, and go only by _reset
         return _compiled[model_path]
 
     def _reset(self) -> None:
-        self.start, self.made = State(_NONE, "", 0), 0
+        #: (state, character) in one integer -> (next state, tokens more); a state is a number, 0 the start of a chunk.
+        self.move: dict[int, tuple[int, int]] = {}
+        self.last = [""]  # token of each state
 
     # ---- what the merges do ----
 
@@ -155,7 +147,7 @@ class Transducer:
         if found is None:
             if len(self.ends) > 100_000:
                 self.ends.clear()
-            found = self.ends[text] = self._walk_long(text)
+            found = self.ends[text] = self.walk(text)
         return found
 
     def _last(self, text: str, end: int, lasts: list[str], counts: list[int], base: int = 0) -> tuple[str, int]:
@@ -175,35 +167,25 @@ class Transducer:
         raise ValueError(f"no token ends in {text[max(0, end - 16) : end]!r}")
 
     def walk(self, chunk: str) -> int:
-        """Tokens of a chunk: what the transitions from the start emit, summed up in the state they reach.
-
-        Compiled states are followed as far as they go; the rest of a chunk adds one state to them, so what chunks have
-        in common is compiled and what one alone has is not.
-        """
+        """Tokens of a chunk: the sum of what its transitions emit. Those that are missing are compiled."""
         if len(chunk) > LONGEST:
             return self._walk_long(chunk)
-        if self.made > self.max_states:
+        if len(self.last) > self.max_states:
             self._reset()
-            gc.collect()
-        state, lasts, counts = self.start, [""], [0]
-        for char in chunk:
-            after = state.moves.get(char)
-            if after is None:
-                break
-            state = after
-            lasts.append(state.last)
-            counts.append(state.emitted)
-        known = len(lasts) - 1
-        for end in range(known + 1, len(chunk) + 1):
-            last, count = self._last(chunk, end, lasts, counts)
-            lasts.append(last)
-            counts.append(count)
-        if known < len(chunk):
-            if state.moves is _NONE:
-                state.moves = {}
-            state.moves[chunk[known]] = State(_NONE, lasts[known + 1], counts[known + 1])
-            self.made += 1
-        return counts[-1]
+        move, last = self.move, self.last
+        state, total, lasts, counts = 0, 0, [""], [0]
+        for end, char in enumerate(chunk, 1):
+            key = state << 21 | ord(char)
+            found = move.get(key)
+            if found is None:
+                token, count = self._last(chunk, end, lasts, counts)
+                found = move[key] = (len(last), count - total)
+                last.append(token)
+            state, more = found
+            total += more
+            lasts.append(last[state])
+            counts.append(total)
+        return total
 
     def _walk_long(self, chunk: str) -> int:
         """The same, keeping only what a piece can reach back to."""

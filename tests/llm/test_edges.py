@@ -101,6 +101,26 @@ def test_token_counts_are_the_library(docs):
     assert got == {r: (len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for r, t, _ in DOCS}
 
 
+def test_transitions_carry_what_is_emitted():
+    """Every state that a walk passes is compiled; what transitions emit adds up to the library's count, for each prefix."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    t = token_counts.Transducer(PIECES)
+    words = ["internationalization", "internationally", "naïve日本", "x1🎉z9qqq"]
+    emitted = []
+    for word in words:
+        t.walk(token_counts.MARK + word)
+        state = total = 0
+        for k, char in enumerate(token_counts.MARK + word):
+            state, more = t.move[state << 21 | ord(char)]
+            total += more
+            emitted.append(more)
+            assert k == 0 or total == len(sp.encode(word[:k]))
+    assert min(emitted) < 0 < max(emitted)
+    assert len(t.last) == 2 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
+
+
 def test_blocks_compose_in_any_way():
     t = token_counts.Transducer(PIECES, states=50, entries=20)
     texts = [t_ or "" for _, t_, _ in DOCS if len(t_ or "") < 6000] + ["a  b   c    ", " " * 40 + "x", "ab" * 300]
