@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 #: An Arrow batch handed to Python ends at so many rows or bytes, so very long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -50,6 +51,13 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def integer_id(docs: DataFrame, id_col: str) -> None:
+    """Refuse ids that are no integers, for operators that order documents by them."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,18 +109,32 @@ def pieces(batches, rows: int = 128):
 # ---- words and their hashes, a whole batch of texts at a time ----
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_pow = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        grown = np.full(max(n, 2 * len(_pow)), _BASE, dtype=np.uint64)
-        grown[0] = 1
-        _pow = np.cumprod(grown, dtype=np.uint64)
-    return _pow
+#: An odd number for each byte, for hashes modulo 2 ** 64 of short strings.
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words may be long, and modulo 2 ** 64 there are pairs of long words that collide for every base; so they are hashed
+#: modulo two primes, with bases that each family of hashes has for itself.
+PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = _rng.integers(1 << 29, 1 << 30, (8, 2))
+#: Terms below 2 ** 40 of up to so many bytes add up without a reduction.
+_SUMMED = 1 << 23
+_tables: dict[tuple[int, int], np.ndarray] = {}
+
+
+def prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo a prime below 2 ** 31."""
+    out = np.ones(1, dtype=np.uint64)
+    step = base % prime
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(step) % np.uint64(prime)])
+        step = step * step % prime
+    return out[:n]
+
+
+def _powers(prime: int, base: int, n: int) -> np.ndarray:
+    held = _tables.get((prime, base))
+    if held is None or len(held) < n:
+        held = _tables[prime, base] = prime_powers(prime, base, max(n, 4096))
+    return held
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,11 +157,11 @@ LOWER[65:91] += 32
 BLOCK = 1 << 20
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, word: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts laid end to end in the byte array ``data``; text i ends at ``ends[i]``.
 
     Words are maximal runs of bytes b with word[b], cut at text ends; A-Z count as a-z. Returns for every word its
-    64-bit hash, first byte, end byte and text index.
+    hash (62 bits, spread over 64), first byte, end byte and text index. Hashes of another family are unrelated.
     """
     parts, at = [], 0
     while at < len(data):
@@ -150,7 +172,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[n
             stop = min(limit, stop + (int(gap[0]) if len(gap) else 4096))
             if stop == limit:
                 break
-        parts.append((at, *_block_hashes(data[at:stop], ends[(ends > at) & (ends < stop)] - at, word)))
+        parts.append((at, *_block_hashes(data[at:stop], ends[(ends > at) & (ends < stop)] - at, word, family)))
         at = stop
     if not parts:
         empty = np.zeros(0, dtype=np.int64)
@@ -161,7 +183,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[n
     return hashes, starts, stops, np.searchsorted(ends, starts, side="right")
 
 
-def _block_hashes(data: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_hashes(data: np.ndarray, cuts: np.ndarray, word: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -173,8 +195,14 @@ def _block_hashes(data: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> tuple
     begin = np.searchsorted(at, starts)
     lengths = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, lengths)
-    terms = _BYTE[LOWER[data[at]]] * _powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64)), starts, starts + lengths
+    values, longest = LOWER[data[at]].astype(np.uint64) + np.uint64(1), int(lengths.max())
+    found = np.zeros(len(starts), dtype=np.uint64)
+    for prime, base in zip(PRIMES, _BASES[family].tolist(), strict=True):
+        terms = values * _powers(prime, base, longest)[place]
+        if longest > _SUMMED:
+            terms %= np.uint64(prime)
+        found = found << np.uint64(31) | np.add.reduceat(terms, begin) % np.uint64(prime)
+    return mix(found + lengths.astype(np.uint64)), starts, starts + lengths
 
 
 def batch_bytes(texts) -> tuple[np.ndarray, np.ndarray]:

@@ -12,13 +12,18 @@ compare suffixes at anchors, with the bytes before them.
 2. The suffixes of the cores that are left are range-partitioned by their bytes, again by sampled splitters, and sorted
    bucket by bucket with multikey quicksort, forwards from the anchor and backwards before it. Common prefixes of
    neighbours in both orders tell which windows are equal; of those the first stays.
-3. A group of equal leading bytes at a bucket's border, or too large for a bucket, is compared across borders: windows
-   that are the first of their kind in a bucket are dealt by their content and compared with those of other buckets.
+3. A group of equal leading bytes at a bucket's border, or too large for a bucket, is compared across borders. Each of
+   its suffixes sends the runs of windows that are the first of their kind in its bucket, as bytes: equal runs of other
+   buckets are covered whole, a run that shares no window with another is done, and only what is left is cut into
+   shorter runs (LEVELS) and compared again. A suffix sends a row or two, not one for each window.
 4. Spans are gathered by document and cut out of its text.
 
+Cores are named by 126 bits in all, of two unrelated kinds of hash; suffixes and runs are compared byte by byte.
+
 Defined results: a null text counts as empty; texts shorter than SIZE lose nothing; rows that repeat an id and a text
 are one document and get the same row each; where texts differ under one id, their order is that of a hash of the text;
-a null id comes before all others; an empty table gives an empty table; extra columns are ignored.
+a null id comes before all others; an empty table gives an empty table; extra columns are ignored; ids that are no
+integers are refused.
 """
 
 from __future__ import annotations
@@ -28,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, batch_bytes, mix, partitions, stored
+from .common import BYTE, PRIMES, batch_bytes, integer_id, mix, partitions, prepared, prime_powers, stored
 
 #: Bytes of a string that may not repeat, and leading bytes that anchors are chosen and dealt by.
 SIZE, GRAM = 100, 32
 REACH = SIZE - GRAM  # an anchor is so far behind the start of its window at most
 #: Windows searched for anchors at a time; rows of a bucket sorted at a time.
 BLOCK, BUCKET = 1 << 18, 1 << 16
+#: Windows that a run compared across buckets may have, round by round.
+LEVELS = (REACH + 1, 16, 4, 1)
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -50,6 +57,9 @@ def _powers(n: int, base: int) -> np.ndarray:
 _ODD = 0x9E3779B97F4A7C15
 _UP = _powers(BLOCK + 2 * SIZE + 1, _ODD)
 _DOWN = _powers(BLOCK + 2 * SIZE + 1, pow(_ODD, -1, 1 << 64))
+#: For cores, beside the hashes modulo 2 ** 64: powers of a base and of its inverse modulo each of two primes.
+_BASES = (1_294_967_291, 1_710_612_743)
+_MODULAR = [(np.uint64(p), prime_powers(p, b, BLOCK + 2 * SIZE + 1), prime_powers(p, pow(b, -1, p), BLOCK + 2 * SIZE + 1)) for p, b in zip(PRIMES, _BASES, strict=True)]
 
 
 # ---- anchors ----
@@ -93,7 +103,7 @@ def _block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: list[i
 def _anchors(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _UP[:n], out=prefix[1:])
+    np.cumsum(BYTE[data] * _UP[:n], out=prefix[1:])
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * _DOWN[: n - GRAM + 1])
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     reach = 1
@@ -111,9 +121,20 @@ def _anchors(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, texts: np.
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(at)) - 1
     low, high, place, owner = windows[first], windows[last], at[first], owner[first]
-    cores = mix(((prefix[high + SIZE] - prefix[low]) * _DOWN[low]) + (high - low).astype(np.uint64) * _BYTE[7] + (place - low).astype(np.uint64) * _BYTE[11])
+    cores = _core_names(data, low, high + SIZE) + ((high - low) << 7 | (place - low)).astype(np.uint64) * np.uint64(_ODD)
     base = starts[owner]
-    return grams[place].view(np.int64), cores.view(np.int64), texts[owner], place - base, low - base, high - base
+    return grams[place].view(np.int64), mix(cores).view(np.int64), texts[owner], place - base, low - base, high - base
+
+
+def _core_names(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """62 bits of each stretch of bytes: its polynomials modulo two primes."""
+    found = np.zeros(len(start), dtype=np.uint64)
+    values = data.astype(np.uint64) + np.uint64(1)
+    for prime, up, down in _MODULAR:
+        prefix = np.zeros(len(data) + 1, dtype=np.uint64)  # below 2 ** 58
+        np.cumsum(values * up[: len(data)], out=prefix[1:])
+        found = found << np.uint64(31) | (prefix[stop] - prefix[start]) % prime * down[start] % prime
+    return found
 
 
 def packed(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -222,7 +243,7 @@ def _ordered(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(rows: pa.Table, open_: bool) -> tuple[list[tuple], list[tuple]]:
-    """Spans of windows that are not the first of their kind here; windows that are, if their group is open."""
+    """Spans of windows that are not the first of their kind here; runs of windows that are, if their group is open."""
     ident, th, place, low, high = (_column(rows, c) for c in ("id", "th", "place", "low", "high"))
     earlier = np.lexsort((place, th, ident))
     ident, th, place, low, high = ident[earlier], th[earlier], place[earlier], low[earlier], high[earlier]
@@ -235,8 +256,7 @@ def _compare(rows: pa.Table, open_: bool) -> tuple[list[tuple], list[tuple]]:
     context.ravel()[into] = data
     right_order, right_common = _ordered(context[:, REACH:])
     left_order, left_common = _ordered(context[:, REACH - 1 :: -1])
-    dup = np.zeros((n, REACH + 2), dtype=bool)
-    fresh: list[tuple] = []
+    dup, fresh = np.zeros((n, REACH + 2), dtype=bool), np.zeros((n, REACH + 2), dtype=bool)
     right_class, left_class = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     for back in range(REACH + 1):  # the window starts so many bytes before the anchor
         valid = np.flatnonzero((place - back >= low) & (place - back <= high))
@@ -248,49 +268,70 @@ def _compare(rows: pa.Table, open_: bool) -> tuple[list[tuple], list[tuple]]:
         later = np.ones(len(valid), dtype=bool)
         later[firsts] = False
         dup[valid[later], back] = True
-        if open_:
-            kept = valid[firsts]
-            windows = context[kept, REACH - back : REACH - back + SIZE]
-            fresh.append((*_digests(windows), ident[kept], th[kept], place[kept] - back))
-    edge = np.diff(dup.astype(np.int8), axis=1, prepend=0)
-    who, begin = np.nonzero(edge == 1)
-    _, after = np.nonzero(edge == -1)
-    spans = [(ident[who], th[who], place[who] - after + 1, place[who] - begin + SIZE)]
-    return spans, fresh
+        fresh[valid[firsts], back] = True
 
+    def stretches(marks: np.ndarray) -> tuple[np.ndarray, ...]:
+        edge = np.diff(marks.astype(np.int8), axis=1, prepend=0)
+        who, begin = np.nonzero(edge == 1)
+        _, after = np.nonzero(edge == -1)
+        return who, place[who] - after + 1, place[who] - begin + SIZE
 
-def _digests(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = _BYTE[windows]
-    one = mix((values * _UP[:SIZE]).sum(axis=1, dtype=np.uint64))
-    two = mix((mix(values) * _DOWN[7 : 7 + SIZE]).sum(axis=1, dtype=np.uint64))
-    return one.view(np.int64), two.view(np.int64)
+    who, start, stop = stretches(dup)
+    spans = (ident[who], th[who], start, stop)
+    if not open_:
+        return spans, None
+    who, start, stop = stretches(fresh)
+    at = REACH - place[who]
+    sent = [context[k, a:b].tobytes() for k, a, b in zip(who.tolist(), (start + at).tolist(), (stop + at).tolist(), strict=True)]
+    return spans, (ident[who], th[who], start, stop, place[who], sent)
 
 
 _SPAN = "id long, th long, start long, stop long"
-_SUFFIXES = pa.schema([("kind", pa.bool_()), ("one", pa.int64()), ("two", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+#: ``run`` holds the bytes of windows to compare elsewhere, place their anchor; for a span both are null.
+_SUFFIXES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("place", pa.int64()), ("run", pa.binary())])
 
 
 def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes sorted by their leading bytes: spans (kind false), and windows to compare elsewhere (kind true)."""
+    """From suffixes sorted by their leading bytes: spans to cut, and runs of windows to compare with other buckets."""
     for rows, open_ in _groups(batches, "gram", BUCKET):
-        spans, fresh = _compare(rows, open_)
-        for i, t, a, b in spans:
-            none = np.zeros(len(i), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(i), dtype=bool), none, none, i, t, a, b)], schema=_SUFFIXES)
-        for one, two, i, t, a in fresh:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(len(i), dtype=bool), one, two, i, t, a, a + SIZE)], schema=_SUFFIXES)
-
-
-def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by (one, two, id, th, start): all but the first of each kind."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two = batch["one"].to_numpy(), batch["two"].to_numpy()
-        later = np.append(last == (one[0], two[0]), (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-        last = (one[-1], two[-1])
-        yield batch.select(["id", "th", "start", "stop"]).filter(pa.array(later))
+        spans, runs = _compare(rows, open_)
+        n = len(spans[0])
+        if n:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, spans), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_SUFFIXES)
+        if runs and len(runs[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(runs, _SUFFIXES, strict=True)], schema=_SUFFIXES)
+
+
+def _later_runs(runs: DataFrame) -> DataFrame:
+    """Spans of windows that another bucket has earlier, from runs (id, th, start, stop, place, run).
+
+    A window starts ``back`` bytes before its anchor, and equal windows have the same back. Every round cuts the runs at
+    multiples of its level in back, so equal windows are in runs of one block of backs. Of equal runs the first stays; a
+    run is cut further only while another one shares the bytes that all windows of its block have in common.
+    """
+    found = None
+    for size in LEVELS:
+        low, high = F.expr(f"place + {SIZE} - stop"), F.expr("place - start")
+        cut = runs.withColumn("low", low).withColumn("high", high)
+        cut = cut.withColumn("block", F.explode(F.expr(f"sequence(low div {size}, high div {size})")))
+        cut = cut.withColumn("first", F.expr(f"greatest(low, block * {size})")).withColumn("last", F.expr(f"least(high, block * {size} + {size - 1})"))
+        cut = cut.select("id", "th", "place", "block", F.col("first").alias("back"), F.expr("place - last").alias("start"), F.expr(f"place - first + {SIZE}").alias("stop"), F.expr(f"substring(run, cast(high - last + 1 as int), cast(last - first + {SIZE} as int))").alias("run"))
+        # equal runs are one from each bucket at most, so this window is as narrow as the buckets are many
+        nth = F.row_number().over(Window.partitionBy("run", "back").orderBy("id", "th", "place"))
+        marked = stored(cut.withColumn("nth", nth), "runs")
+        later = marked.where("nth > 1").select("id", "th", "start", "stop")
+        found = later if found is None else found.unionByName(later)
+        if size == 1:
+            break
+        firsts = marked.where("nth = 1").drop("nth", "back")
+        begin, end = f"block * {size}", f"least(block * {size} + {size - 1}, {REACH})"
+        common = F.xxhash64("block", F.expr(f"substring(run, cast(place - start - {begin} + 1 as int), cast({SIZE} + {begin} - {end} as int))"))
+        firsts = firsts.withColumn("common", common)
+        shared = stored(firsts.groupBy("common").count().where("count > 1").select("common"), "shared")
+        if shared.isEmpty():
+            break
+        runs = firsts.join(shared, "common", "left_semi").drop("common", "block")
+    return found
 
 
 # ---- the operator ----
@@ -299,6 +340,7 @@ _NULL_ID = -(1 << 63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    integer_id(docs, id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), text.alias("text"))
     return rows.select("id", F.xxhash64("text").alias("th"), "text")
@@ -306,7 +348,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans): for each document that has any, where to cut, as arrays of (start, stop) in bytes."""
-    spark = docs.sparkSession
+    spark = prepared(docs.sparkSession)
     texts = _keyed(docs, id_col, text_col)
     n = partitions(spark)
 
@@ -344,10 +386,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = once.join(checked.hint("merge"), (F.col("id") == F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("id", "th", "text", "checks")
     suffixes = unique.mapInArrow(contexts, "gram binary, rest binary, id long, th long, place long, low long, high long, core binary")
     bucketed = suffixes.repartitionByRange(n, "gram", "rest").sortWithinPartitions("gram")
-    compared = stored(bucketed.mapInArrow(_sorted_suffixes, f"kind boolean, one long, two long, {_SPAN}"), "compared")
-    across = compared.where("kind").select("one", "two", "id", "th", "start", "stop").repartition(n, "one").sortWithinPartitions("one", "two", "id", "th", "start")
-    later = across.mapInArrow(_later_windows, _SPAN)
-    pieces = compared.where("NOT kind").select("id", "th", "start", "stop").unionByName(later)
+    compared = stored(bucketed.mapInArrow(_sorted_suffixes, f"{_SPAN}, place long, run binary"), "compared")
+    later = _later_runs(compared.where("run IS NOT NULL"))
+    pieces = compared.where("run IS NULL").select("id", "th", "start", "stop").unionByName(later)
     pieces = pieces.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return anchors_of.select("id", "th", "spans").unionByName(pieces).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
 
