@@ -1,16 +1,20 @@
 """Token counts by a compiled finite-state transducer (operator 8).
 
-The tokenizer of a byte-pair model with whitespace markers is compiled, as far as texts need it, into a
-deterministic transducer over characters. A state stands for what has been read of a chunk (chunks begin at a run of
-markers, which no piece crosses). Every state that a walk passes is compiled, and the transition to it carries the
-change in the number of tokens; the changes along a path add up to the count. A state's last token is found among the
-pieces that end there: the only one which, next to the last token before it, the merges leave as it is. Chunks met
-before are answered from a table: a path from start to start, taken as one transition.
-
-A block of text acts on the transducer as a map of states: a block with a chunk border sends every incoming state,
-after its head, to one outgoing state; a block without one extends the chunk. Such maps are (head, tokens inside,
-tail) and compose associatively, so blocks of one text can be scanned in any order and combined in a tree;
-here one task does that for a text.
+The tokenizer of a byte-pair model with whitespace markers is compiled, as far as texts need it, into a deterministic
+transducer over characters. A state stands for what has been read of a chunk (chunks begin at a run of markers, which no
+piece crosses), 0 for the start of one. A transition (state, character) -> (state, tokens more) carries the change in
+the number of tokens, and the changes along a path add up to the count. The token that a new state ends with is found
+among the pieces that end there: the only one which, next to the last token before it, the merges leave as it is.
+
+Transitions are kept as sorted arrays. The distinct chunks of a batch of texts run through them side by side, a
+character of each at a time; those that meet a missing transition are compiled, and the arrays are made anew when they
+have grown. Counts go back to texts by position.
+
+A block of text acts on the transducer as a map of states: a block with a chunk border sends every incoming state, after
+its head, to one outgoing state; a block without one extends the chunk. So a map is (head, tokens inside, tail) instead
+of an array over all states, and maps compose associatively. Texts over SPLIT bytes are cut into blocks, which are rows
+of their own that any task may scan; the maps of a text are then composed as a tree. A chunk without a border is walked
+as a whole, however many blocks it spans.
 
 Defined results: a null text counts as empty: 0 bytes, 0 tokens; repeated rows each give a row; an empty table gives
 an empty table; extra columns are ignored.
@@ -18,19 +22,21 @@ an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions, pieces, prepared
+
 MARK = "▁"
 LONGEST = 64
-#: Characters of a text in one block of the scan.
-BLOCK = 1 << 16
+#: Characters of a block of a text; bytes of a text that is not cut into rows; share by which arrays lag behind.
+BLOCK, SPLIT, LAG = 1 << 16, 1 << 17, 0.2
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _compiled: dict[str, Transducer] = {}
 
@@ -43,41 +49,16 @@ class StateMap(NamedTuple):
     tail: str | None
 
 
-class Words(dict):
-    """Tokens of chunks that begin with one marker, by the rest: paths from start to start, taken as one transition.
-
-    Two generations of ``entries`` at most: words not met since the older one was young are dropped.
-    """
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.of, self.entries = transducer, transducer.entries
-        self.older: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        found = self.older.get(word)
-        if found is None:
-            cut = self.of.last_cut(word)
-            # no piece spans the cut, so what is before it is a word of its own, met more often
-            found = self[word[:cut]] + self.of.end(word[cut:]) if cut else self.of.walk(MARK + word)
-        if len(word) < LONGEST:
-            if len(self) > self.entries:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-
 class Transducer:
-    """Counts tokens; compiled lazily, with at most ``states`` states and ``entries`` whole chunks remembered."""
+    """Counts tokens; compiled as texts need it, with at most ``states`` states, then begun anew."""
 
-    def __init__(self, model_path: str, states: int = 600_000, entries: int = 900_000):
+    def __init__(self, model_path: str, states: int = 600_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         ids = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.rank = {p: -s for s, p in sorted(((model.get_score(i), model.id_to_piece(i)) for i in ids), reverse=True)}
-        probe = "a  b Ａ "
+        probe = "a  b Ａ "
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank) or model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("pieces of this model can cross whitespace markers, or it normalises texts")
         self.bytes = all(model.is_byte(model.piece_to_id(f"<0x{b:02X}>")) for b in range(256))
@@ -86,23 +67,30 @@ class Transducer:
         self.longest = max(map(len, self.rank))
         self.joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.ends: dict[str, int] = {}
-        self.max_states, self.entries = states, entries
-        self.forms: dict[str, tuple[str, str] | None] = {}
+        self.max_states = states
+        self.forms: dict[str, bool] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words = Words(self)
         self._reset()
 
     @classmethod
     def get(cls, model_path: str) -> Transducer:
         if model_path not in _compiled:
             _compiled[model_path] = cls(model_path)
-            gc.set_threshold(1_000_000, 50, 100)  # transitions are many, live long, and go only by _reset
         return _compiled[model_path]
 
     def _reset(self) -> None:
-        #: (state, character) in one integer -> (next state, tokens more); a state is a number, 0 the start of a chunk.
-        self.move: dict[int, tuple[int, int]] = {}
+        #: (state, character) in one integer -> next state, and -> tokens more; a state is a number, 0 the start.
+        self.move: dict[int, int] = {}
+        self.emit: dict[int, int] = {}
         self.last = [""]  # token of each state
+        self._arrays()
+
+    def _arrays(self) -> None:
+        keys = np.fromiter(self.move, np.int64, len(self.move))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], -1)
+        self.moves = np.append(np.fromiter(self.move.values(), np.int64, len(keys))[order], 0)
+        self.emits = np.append(np.fromiter(self.emit.values(), np.int64, len(keys))[order], 0)
 
     # ---- what the merges do ----
 
@@ -172,17 +160,17 @@ class Transducer:
             return self._walk_long(chunk)
         if len(self.last) > self.max_states:
             self._reset()
-        move, last = self.move, self.last
+        move, emit, last = self.move, self.emit, self.last
         state, total, lasts, counts = 0, 0, [""], [0]
         for end, char in enumerate(chunk, 1):
             key = state << 21 | ord(char)
             found = move.get(key)
             if found is None:
                 token, count = self._last(chunk, end, lasts, counts)
-                found = move[key] = (len(last), count - total)
+                found, move[key], emit[key] = len(last), len(last), count - total
                 last.append(token)
-            state, more = found
-            total += more
+            state = found
+            total += emit[key]
             lasts.append(last[state])
             counts.append(total)
         return total
@@ -199,23 +187,60 @@ class Transducer:
                 lasts, counts, base = lasts[drop:], counts[drop:], base + drop
         return counts[-1]
 
-    def chunk(self, chunk: str) -> int:
-        """Tokens of a chunk."""
-        return self.words[chunk[1:]] if chunk.startswith(MARK) and not chunk.startswith(MARK * 2) else self.walk(chunk)
+    def run(self, chunks: list[str]) -> np.ndarray:
+        """Tokens of chunks of up to LONGEST characters: the compiled transitions, a character of each chunk at a time."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        begin = np.append(0, np.cumsum(sizes))[:-1]
+        state, total = np.zeros(len(chunks), dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+        live, missing = np.flatnonzero(sizes > 0), []
+        for k in range(int(sizes.max(initial=0))):
+            key = state[live] << 21 | codes[begin[live] + k]
+            at = np.searchsorted(self.keys[:-1], key)
+            there = self.keys[at] == key
+            missing.append(live[~there])
+            live, at = live[there], at[there]
+            state[live] = self.moves[at]
+            total[live] += self.emits[at]
+            live = live[sizes[live] > k + 1]
+        for i in np.concatenate([np.zeros(0, dtype=np.int64), *missing]).tolist():
+            total[i] = self.walk(chunks[i])
+        if len(self.move) > (1 + LAG) * len(self.keys):
+            self._arrays()
+        return total
+
+    def tokens_of(self, chunks: Iterable[str]) -> dict[str, int]:
+        """Tokens of distinct chunks, each given without its first marker."""
+        chunks = list(chunks)
+        # no piece spans a cut, so what is before it is a chunk of its own, met more often
+        cuts = [0 if not c or c[-1].isalpha() else self.last_cut(c) for c in chunks]
+        bases = [c[:cut] if cut else c for c, cut in zip(chunks, cuts, strict=True)]
+        short = list({c for c in bases if len(c) < LONGEST})
+        counts = dict(zip(short, self.run([MARK + c for c in short]).tolist(), strict=True))
+        found = {}
+        for chunk, cut, base in zip(chunks, cuts, bases, strict=True):
+            n = counts[base] if len(base) < LONGEST else self._walk_long(MARK + base)
+            found[chunk] = n + self.end(chunk[cut:]) if cut else n
+        return found
+
+    def one(self, chunk: str) -> int:
+        """Tokens of a chunk that begins with a marker, or of a text's part without one."""
+        return self.tokens_of([chunk[1:]])[chunk[1:]] if chunk.startswith(MARK) else self.walk(chunk)
 
     # ---- blocks ----
 
-    def scan(self, block: str) -> StateMap:
-        """The state map of a block of marked text."""
-        at = block.find(MARK)
-        if at < 0:
-            return StateMap(block, 0, None)
-        if MARK + MARK not in block:
-            parts = block[at + 1 :].split(MARK)
-            tail = MARK + parts.pop()
-            return StateMap(block[:at], sum(map(self.words.__getitem__, parts)), tail)
-        parts = _CHUNK.findall(block, at)
-        return StateMap(block[:at], sum(map(self.chunk, parts[:-1])), parts[-1])
+    def scan(self, blocks: list[str]) -> list[StateMap]:
+        """The state maps of blocks of marked text."""
+        split: list[tuple[str, list[str], str | None]] = []
+        for block in blocks:
+            at = block.find(MARK)
+            if at < 0:
+                split.append((block, [], None))
+                continue
+            parts = block[at + 1 :].split(MARK) if MARK + MARK not in block else [c[1:] for c in _CHUNK.findall(block, at)]
+            split.append((block[:at], parts, MARK + parts.pop()))
+        tokens = self.tokens_of(set().union(*(parts for _, parts, _ in split)))
+        return [StateMap(head, sum(map(tokens.__getitem__, parts)), tail) for head, parts, tail in split]
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """First a, then b; b doesn't begin with a marker."""
@@ -223,39 +248,83 @@ class Transducer:
             return StateMap(a.head + b.head, b.tokens, b.tail)
         if b.tail is None:
             return StateMap(a.head, a.tokens, a.tail + b.head)
-        return StateMap(a.head, a.tokens + self.chunk(a.tail + b.head) + b.tokens, b.tail)
-
-    def blocks(self, marked: str, block: int) -> list[str]:
-        """Cut a text so that no block begins inside a run of markers."""
-        cuts, at = [0], block
-        while at < len(marked):
-            while at < len(marked) and marked[at] == MARK:
-                at += 1
-            cuts.append(at)
-            at += block
-        return [marked[a:b] for a, b in zip(cuts, [*cuts[1:], len(marked)], strict=True) if a < b]
-
-    def count(self, text: str, block: int = BLOCK) -> int:
-        """Tokens of a text: the state maps of its blocks, composed in a tree."""
-        if not text:
-            return 0
-        maps = [self.scan(x) for x in self.blocks(MARK + text.replace(" ", MARK), block)]
+        return StateMap(a.head, a.tokens + self.one(a.tail + b.head) + b.tokens, b.tail)
+
+    def composed(self, maps: list[StateMap]) -> int:
+        """Tokens of a text, from the maps of its blocks, composed as a tree."""
         while len(maps) > 1:
             maps = [self.compose(*pair) if len(pair) == 2 else pair[0] for pair in (maps[i : i + 2] for i in range(0, len(maps), 2))]
-        only = maps[0]
-        return only.tokens + (self.chunk(only.head) if only.head else 0) + (self.chunk(only.tail) if only.tail else 0)
+        return sum(m.tokens + (self.one(m.head) if m.head else 0) + (self.one(m.tail) if m.tail else 0) for m in maps)
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of texts, a block each."""
+        maps = self.scan([marked(t) for t in texts])
+        tails = self.tokens_of({m.tail[1:] for m in maps if m.tail})
+        return [m.tokens + tails[m.tail[1:]] if m.tail else 0 for m in maps]
+
+
+def marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK) if text else ""
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row, without begin, end or other added tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Transducer.get(model_path).count
-        for batch in batches:
-            texts = batch[1].fill_null("")
-            tokens = pa.array(map(count, texts.to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch[0], tokens, batch[2]], [id_col, "n_tokens", "n_bytes"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """A text, marked, in blocks none of which begins inside a run of markers."""
+    whole, begin = marked(text), 0
+    while begin < len(whole):
+        end = begin + size
+        while end < len(whole) and whole[end] == MARK:
+            end += 1
+        yield whole[begin:end]
+        begin = end
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) of every row, without begin, end or other added tokens."""
+    n = partitions(prepared(docs.sparkSession))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    counted = docs.select(id_col, text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_bytes long")
-    return counted.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    result = ["id", "n_bytes", "n_tokens"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Transducer.get(model_path).counts(batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], pa.array(counts, pa.int64())], result)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            parts = pa.array(blocks(batch["text"][0].as_py(), block), pa.string())
+            same = [pa.repeat(batch[c][0], len(parts)) for c in ("id", "n_bytes", "tag")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(parts)), pa.int32()), parts], ["id", "n_bytes", "tag", "k", "block"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            maps = Transducer.get(model_path).scan(batch["block"].to_pylist())
+            columns = [pa.array([m[i] for m in maps], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "n_bytes", "tag", "k")), *columns], ["id", "n_bytes", "tag", "k", "head", "tokens", "tail"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From state maps sorted by text and place."""
+        held: list[StateMap] = []
+        before = None
+
+        def done() -> pa.RecordBatch:
+            total = Transducer.get(model_path).composed(held)
+            return pa.RecordBatch.from_arrays([before["id"], before["n_bytes"], pa.array([total], pa.int64())], result)
+
+        for batch in pieces(batches, 1):
+            if before is not None and before["tag"][0] != batch["tag"][0]:
+                yield done()
+                held = []
+            before = batch
+            held.append(StateMap(*(batch[c][0].as_py() for c in ("head", "tokens", "tail"))))
+        if before is not None:
+            yield done()
+
+    base = f"id {kind}, n_bytes long"
+    short = rows.where(F.col("n_bytes") <= split).mapInArrow(whole, f"{base}, n_tokens long")
+    long = rows.where(F.col("n_bytes") > split).withColumn("tag", F.monotonically_increasing_id()).mapInArrow(cut, f"{base}, tag long, k int, block string")
+    maps = long.repartition(n, "tag", "k").mapInArrow(scan, f"{base}, tag long, k int, head string, tokens long, tail string")
+    long = maps.repartition(n, "tag").sortWithinPartitions("tag", "k").mapInArrow(compose, f"{base}, n_tokens long")
+    counted = short.unionByName(long)
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -93,12 +93,15 @@ def test_bounded_chunk_table():
     assert [len(x) // 4 for x in table.encode(texts)] == [len(sp.encode(t)) for t in texts]
 
 
-def test_token_counts_are_the_library(docs):
+@pytest.mark.parametrize(("split", "block"), [(1 << 17, 1 << 16), (40, 7), (0, 1)])
+def test_token_counts_are_the_library(docs, split, block):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, PIECES).collect()}
-    assert got == {r: (len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for r, t, _ in DOCS}
+    rows = [r for r in DOCS if block > 1 or len(r[1] or "") < 6000]
+    some = docs.where(F.length(F.coalesce("text", F.lit(""))) < 6000) if block == 1 else docs
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(some, PIECES, split=split, block=block).collect()), key=repr)
+    assert got == sorted(((r, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for r, t, _ in rows), key=repr)
 
 
 def test_transitions_carry_what_is_emitted():
@@ -113,7 +116,8 @@ def test_transitions_carry_what_is_emitted():
         t.walk(token_counts.MARK + word)
         state = total = 0
         for k, char in enumerate(token_counts.MARK + word):
-            state, more = t.move[state << 21 | ord(char)]
+            key = state << 21 | ord(char)
+            state, more = t.move[key], t.emit[key]
             total += more
             emitted.append(more)
             assert k == 0 or total == len(sp.encode(word[:k]))
@@ -121,11 +125,21 @@ def test_transitions_carry_what_is_emitted():
     assert len(t.last) == 2 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
 
 
+def test_compiled_arrays_count_alone():
+    """Once words are compiled, the arrays count them without the slow walk."""
+    t = token_counts.Transducer(PIECES)
+    chunks = [token_counts.MARK + w for w in "the quick brown fox, naïve 日本 x1🎉z9qqq".split()]
+    first = t.run(chunks).tolist()
+    t._arrays()
+    t.walk = None
+    assert t.run(chunks).tolist() == first and t.run([]).tolist() == []
+
+
 def test_blocks_compose_in_any_way():
-    t = token_counts.Transducer(PIECES, states=50, entries=20)
+    t = token_counts.Transducer(PIECES, states=50)
     texts = [t_ or "" for _, t_, _ in DOCS if len(t_ or "") < 6000] + ["a  b   c    ", " " * 40 + "x", "ab" * 300]
     for text in texts:
-        assert len({t.count(text, block=b) for b in (1, 3, 17, 1000, 1 << 16)}) == 1
+        assert {t.composed(t.scan(list(token_counts.blocks(text, b)))) for b in (1, 3, 17, 1000, 1 << 16)} == set(t.counts([text]))
 
 
 def test_exact_dedup(docs):
