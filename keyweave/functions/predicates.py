@@ -20,6 +20,11 @@ def in_(c: Column, values: Iterable[object] | None) -> Column | None:
     return c.isin(values) if values else None
 
 
+def same_key(parts: list[Column], value: Iterable[object]) -> Column:
+    """A compound key, part by part, so that every part can reach the scan; a null part equals nothing."""
+    return reduce(lambda a, b: a & b, [c == F.lit(v) for c, v in zip(parts, value, strict=True)])
+
+
 def contains_any(c: Column, values: Iterable[object] | None) -> Column | None:
     """Rows whose collection holds one of the values; a null collection holds none."""
     values = list(values or [])

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 from ..functions import predicates as p
 from ..spec import EntitySpec, ForeignKey, Registry
@@ -41,13 +41,29 @@ class Narrowing:
     def _collection(self, column: str) -> bool:
         return column in self.df.columns and isinstance(self.df.schema[column].dataType, ArrayType)
 
+    def _parts_of(self, name: str, column: str) -> list[Column]:
+        """The columns of a compound key, or the fields of a struct; none for any other lane."""
+        keys = self.spec.keys
+        if name == "key" and len(keys) > 1:
+            return [F.col(f"`{k}`") for k in keys]
+        column = keys[0] if name == "key" and keys else column
+        kind = self.df.schema[column].dataType if column in self.df.columns else None
+        return [F.col(f"`{column}`.`{f}`") for f in kind.names] if isinstance(kind, StructType) else []
+
     def with_(self, name: str, values: object = None):
-        """Equality or membership on a key or index; on a collection, holding any of the values."""
+        """Equality or membership on a key or index; on a collection, holding any of the values.
+
+        A value of a compound key (or of a struct) is a tuple, row or dictionary; several are in a list.
+        """
         index = self.spec.index(name)
-        many = isinstance(values, (list, tuple, set, frozenset)) and not (isinstance(values, tuple) and len(self.spec.keys) > 1 and name == "key")
+        parts = self._parts_of(name, index.column)
+        many = isinstance(values, (list, set, frozenset) if parts else (list, tuple, set, frozenset))
         values = list(values) if many else [] if values is None else [values]
         if not values:
             return self
+        if parts:
+            rows = [tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in values]
+            return self._and(p.any_of(*(p.same_key(parts, v) for v in rows)))
         c = index.value()
         if not index.expr and self._collection(index.column):
             return self._and(p.contains_any(c, values))
@@ -117,9 +133,15 @@ class Query(Narrowing):
 
     # ---- joins ----
 
-    def _right(self, right: str | Query | DataFrame, narrow: Filter | None, args: tuple) -> tuple[DataFrame, EntitySpec | None]:
+    def _right(self, right: str | Query | DataFrame, narrow: Filter | None, args: tuple, slot: Column | None = None, latest: Column | None = None) -> tuple[DataFrame, EntitySpec | None]:
+        """The right side; with ``slot``, of rows that share its value only the last writer's, before any filter sees them."""
         if isinstance(right, str):
             right = self.registry.query(right)
+        if slot is not None and isinstance(right, Query):
+            order = F.struct(latest, right.spec.key_column()) if latest is not None else right.spec.key_column()
+            right = replace_query(right, df=joins.last_writers(right.df, slot, order))
+        elif slot is not None:
+            right = joins.last_writers(right, slot, latest)
         if isinstance(right, Query):
             if narrow:
                 flt = narrow(Narrowing(right.df, right.spec), *args).predicate()
@@ -132,23 +154,30 @@ class Query(Narrowing):
             raise ValueError(f"{MOST_JOINS} joins at most")
         return replace_query(self, steps=(*self.steps, step), inner_steps=(*self.inner_steps, step) if inner else self.inner_steps, n_joins=self.n_joins + 1)
 
-    def join_one(self, right, left_on: Column | str | None = None, right_on: Column | str | None = None, *, selector: Callable[..., Column] | None = None, selector_args: tuple = (), narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False, latest: Column | None = None) -> Query:
+    def join_one(self, right, left_on: Column | str | None = None, right_on: Column | str | None = None, *, selector: Callable[..., Column] | None = None, selector_args: tuple = (), narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False, latest: Column | None = None, columns: list[str] | None = None) -> Query:
         """1:1 (or N:1) on key to key, a unique column of either side, or any shared value. ``selector`` maps the left value.
 
-        ``latest`` orders writers: of right rows that share a value only the last holds it.
+        Of right rows that share a value other than their key only the last writer holds it: the greatest by ``latest``,
+        then by key (a plain table: by all columns). ``columns`` are what the right side gives.
         """
-        df, spec = self._right(right, narrow, args)
+        spec = self.registry.spec(right) if isinstance(right, str) else right.spec if isinstance(right, Query) else None
         lhs, rhs = self._sides(left_on, right_on, spec)
+        by_key = spec is not None and (right_on is None or (isinstance(right_on, str) and spec.keys == (right_on,)))
+        df, _ = self._right(right, narrow, args, None if by_key else rhs, latest)
         if selector:
             lhs = selector(lhs, *selector_args)
         name = alias or f"right{self.n_joins + 1}"
-        return self._joined(lambda left: joins.join_one(left, df, lhs, rhs, name, inner, latest), inner)
+        return self._joined(lambda left: joins.join_one(left, df, lhs, rhs, name, inner, columns), inner)
 
     def inner_join_one(self, *a, **k) -> Query:
         return self.join_one(*a, inner=True, **k)
 
-    def join_many(self, right, right_on: Column | str, left_on: Column | str | None = None, *, selector: Callable[..., Column] | None = None, selector_args: tuple = (), narrow: Filter | None = None, args: tuple = (), nested: Callable[[Query], Query] | None = None, alias: str | None = None, inner: bool = False) -> Query:
-        """1:N, or N:M by a shared value; ``nested`` gives the children joins of their own, which run once over all of them."""
+    def join_many(self, right, right_on: Column | str, left_on: Column | str | None = None, *, selector: Callable[..., Column] | None = None, selector_args: tuple = (), narrow: Filter | None = None, args: tuple = (), nested: Callable[[Query], Query] | None = None, alias: str | None = None, inner: bool = False, columns: list[str] | None = None, aggregates: dict[str, Column] | None = None) -> Query:
+        """1:N, or N:M by a shared value; ``nested`` gives the children joins of their own, which run once over all of them.
+
+        ``columns`` are what a child gives; ``aggregates`` give one struct of figures over the children instead of them,
+        null without any.
+        """
         if nested:
             child = self.registry.query(right) if isinstance(right, str) else right
             right = nested(child)
@@ -158,32 +187,32 @@ class Query(Narrowing):
             lhs = selector(lhs, *selector_args)
         rhs = F.col(right_on) if isinstance(right_on, str) else right_on
         name = alias or f"right{self.n_joins + 1}"
-        narrowed = bool(self.parts) or bool(self.inner_steps)
-        return self._joined(lambda left: joins.join_many(left, df, lhs, rhs, name, inner, narrowed), inner)
+        narrowed = bool(self.parts) and not self.steps  # else the joins before would run twice
+        return self._joined(lambda left: joins.join_many(left, df, lhs, rhs, name, inner, narrowed, columns, aggregates), inner)
 
     def inner_join_many(self, *a, **k) -> Query:
         return self.join_many(*a, inner=True, **k)
 
-    def join_many_collection(self, right, collection: str, *, narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False) -> Query:
+    def join_many_collection(self, right, collection: str, *, narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False, columns: list[str] | None = None) -> Query:
         df, _ = self._right(right, narrow, args)
         name = alias or f"right{self.n_joins + 1}"
-        return self._joined(lambda left: joins.join_collection(left, df, self.spec.key_column(), collection, name, inner), inner)
+        return self._joined(lambda left: joins.join_collection(left, df, self.spec.key_column(), collection, name, inner, columns), inner)
 
-    def join_many_collection_forward(self, right, collection: str, *, right_on: Column | str | None = None, narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False) -> Query:
+    def join_many_collection_forward(self, right, collection: str, *, right_on: Column | str | None = None, narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False, columns: list[str] | None = None) -> Query:
         df, spec = self._right(right, narrow, args)
         _, rhs = self._sides(None, right_on, spec)
         name = alias or f"right{self.n_joins + 1}"
-        return self._joined(lambda left: joins.join_collection_forward(left, df, list(self.spec.keys), collection, rhs, name, inner), inner)
+        return self._joined(lambda left: joins.join_collection_forward(left, df, list(self.spec.keys), collection, rhs, name, inner, columns), inner)
 
-    def join_with(self, target: str, nested: Callable[[Query], Query] | None = None, *, narrow: Filter | None = None, args: tuple = (), alias: str | None = None, inner: bool = False) -> Query:
-        """The join that a declared foreign key asks for, of either side."""
+    def join_with(self, target: str, nested: Callable[[Query], Query] | None = None, *, alias: str | None = None, **options) -> Query:
+        """The join that a declared foreign key asks for, of either side; options are those of that join."""
         name = alias or target
         for fk in self.registry.foreign_keys(self.spec.name):
             if fk.target == target:
-                return self._forward(fk, name, narrow, args, inner, nested)
+                return self._forward(fk, nested, alias=name, **options)
         for fk in self.registry.foreign_keys(target):
             if fk.target == self.spec.name:
-                return self._reverse(target, fk, name, narrow, args, inner, nested)
+                return self._reverse(target, fk, nested, alias=name, **options)
         raise KeyError(f"no foreign key between {self.spec.name} and {target}")
 
     def inner_join_with(self, *a, **k) -> Query:
@@ -193,20 +222,20 @@ class Query(Narrowing):
         child = self.registry.query(target)
         return nested(child) if nested else child
 
-    def _forward(self, fk: ForeignKey, name: str, narrow, args, inner, nested) -> Query:
+    def _forward(self, fk: ForeignKey, nested, **options) -> Query:
         right = self._nested(fk.target, nested)
         if self._collection(fk.column):
-            return self.join_many_collection_forward(right, fk.column, narrow=narrow, args=args, alias=name, inner=inner)
-        return self.join_one(right, fk.column, selector=fk.selector, narrow=narrow, args=args, alias=name, inner=inner)
+            return self.join_many_collection_forward(right, fk.column, **options)
+        return self.join_one(right, fk.column, selector=fk.selector, **options)
 
-    def _reverse(self, target: str, fk: ForeignKey, name: str, narrow, args, inner, nested) -> Query:
+    def _reverse(self, target: str, fk: ForeignKey, nested, **options) -> Query:
         right = self._nested(target, nested)
         if isinstance(self.registry.df(target).schema[fk.column].dataType, ArrayType):
-            return self.join_many_collection(right, fk.column, narrow=narrow, args=args, alias=name, inner=inner)
+            return self.join_many_collection(right, fk.column, **options)
         own = fk.selector(F.col(fk.column)) if fk.selector else F.col(fk.column)
         if fk.cardinality == "one_to_one":
-            return self.join_one(right, right_on=own, narrow=narrow, args=args, alias=name, inner=inner)
-        return self.join_many(right, own, narrow=narrow, args=args, alias=name, inner=inner)
+            return self.join_one(right, right_on=fk.column if not fk.selector else own, **options)
+        return self.join_many(right, own, **options)
 
     def _sides(self, left_on, right_on, spec: EntitySpec | None) -> tuple[Column, Column]:
         as_column = lambda c, s: s.key_column() if c is None else F.col(c) if isinstance(c, str) else c
@@ -254,8 +283,8 @@ class Query(Narrowing):
         return self.counted().first()[0]
 
     def with_total(self) -> DataFrame:
-        """The page with ``total_count``, the rows before paging (an action counts them)."""
-        return self.to_df().withColumn("total_count", F.lit(self.count()).cast("long"))
+        """The page with ``total_count``, the rows before paging, as a subquery of the same plan."""
+        return self.to_df().withColumn("total_count", self.counted().scalar())
 
     def map(self, *columns: Column) -> DataFrame:
         return self.to_df().select(*columns)

@@ -58,6 +58,11 @@ def size(items: str) -> Column:
     return F.size(items).cast("long")
 
 
+def figure(name: str) -> Column:
+    """A count of children, 0 without any."""
+    return F.coalesce(name, F.lit(0)).cast("long")
+
+
 # ---- sources and lookups ----
 
 
@@ -313,51 +318,85 @@ def join_one_non_pk(r):
     return joined.map(F.col("s_suppkey"), F.col("right1.c_custkey").alias("c_custkey"))
 
 
+@query("SELECT s_suppkey, c.c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey, max(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey) c ON s_nationkey = c.c_nationkey")
+def join_one_repeats(r):
+    """Right rows share a value: the last writer holds it, here the greatest key, and no left row is multiplied."""
+    return r.query("supplier").join_one("customer", "s_nationkey", "c_nationkey").map(F.col("s_suppkey"), F.col("right1.c_custkey").alias("c_custkey"))
+
+
+@query("SELECT s_suppkey, c.c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS c_custkey, arg_max(c_mktsegment, c_acctbal) AS seg FROM customer GROUP BY c_nationkey) c ON s_nationkey = c.c_nationkey AND seg = 'BUILDING'")
+def join_one_repeats_filter(r):
+    """A filter sees the holder of a value only: another row that shares it doesn't come forward."""
+    joined = r.query("supplier").join_one("customer", "s_nationkey", "c_nationkey", latest=F.col("c_acctbal"), narrow=lambda b: b.with_("c_mktsegment", "BUILDING"))
+    return joined.map(F.col("s_suppkey"), F.col("right1.c_custkey").alias("c_custkey"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN (SELECT s_nationkey, max(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
+def join_one_left_unique(r):
+    joined = r.query("customer").inner_join_one("supplier", F.col("c_nationkey"), F.col("s_nationkey"))
+    return joined.map(F.col("c_custkey"), F.col("right1.s_suppkey").alias("s_suppkey"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 AND turn = 1")
+def compound_key(r):
+    return r.query("conversations").with_("key", (3, 1)).map(F.col("conv_id"), F.col("turn"), F.col("role"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id = 3 AND turn = 1) OR (conv_id = 5 AND turn = 0) OR (conv_id = 1 AND turn = 99)")
+def compound_key_in(r):
+    return r.query("conversations").with_("key", [(3, 1), (5, 0), (1, 99)]).map(F.col("conv_id"), F.col("turn"), F.col("role"))
+
+
 # ---- joins, one to many and many to many ----
 
 
 @query("SELECT o_orderkey, count(l_orderkey)::BIGINT AS n_items, coalesce(sum(l_extendedprice::DECIMAL(18,2)), 0)::DOUBLE AS amount FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def join_many(r):
-    return r.query("orders").join_with("lineitem", alias="items").map(F.col("o_orderkey"), size("items").alias("n_items"), total("items", "l_extendedprice").alias("amount"))
+    figures = {"n": F.count("*"), "amount": F.sum(money(F.col("l_extendedprice")))}
+    joined = r.query("orders").join_with("lineitem", alias="items", aggregates=figures)
+    return joined.map(F.col("o_orderkey"), figure("items.n").alias("n_items"), F.coalesce("items.amount", F.lit(0)).cast("double").alias("amount"))
 
 
 @query("SELECT o_orderkey, count(*)::BIGINT AS n_items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def join_many_inner(r):
-    return r.query("orders").inner_join_with("lineitem", alias="items").map(F.col("o_orderkey"), size("items").alias("n_items"))
+    return r.query("orders").inner_join_with("lineitem", alias="items", columns=["l_linenumber"]).map(F.col("o_orderkey"), size("items").alias("n_items"))
 
 
 @query("SELECT o_orderkey, count(l_orderkey)::BIGINT AS n_items FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey")
 def join_many_filter(r):
-    joined = r.query("orders").with_("o_orderstatus", "F").join_with("lineitem", narrow=lambda b: b.with_("l_returnflag", "R"), alias="items")
+    joined = r.query("orders").with_("o_orderstatus", "F").join_with("lineitem", narrow=lambda b: b.with_("l_returnflag", "R"), alias="items", columns=["l_linenumber"])
     return joined.map(F.col("o_orderkey"), size("items").alias("n_items"))
 
 
 @query("SELECT c_custkey, count(s_suppkey)::BIGINT AS n_suppliers FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey")
 def join_many_shared_value(r):
-    return r.query("customer").join_many("supplier", "s_nationkey", "c_nationkey", alias="suppliers").map(F.col("c_custkey"), size("suppliers").alias("n_suppliers"))
+    # a value's suppliers are counted once, not carried by each of its customers
+    joined = r.query("customer").join_many("supplier", "s_nationkey", "c_nationkey", alias="suppliers", aggregates={"n": F.count("*")})
+    return joined.map(F.col("c_custkey"), figure("suppliers.n").alias("n_suppliers"))
 
 
 @query("SELECT c_custkey, count(*)::BIGINT AS n_suppliers FROM customer JOIN supplier ON s_nationkey = (c_nationkey + 1) % 25 GROUP BY c_custkey")
 def join_many_selector_inner(r):
-    joined = r.query("customer").inner_join_many("supplier", "s_nationkey", "c_nationkey", selector=lambda k: (k + 1) % 25, alias="suppliers")
-    return joined.map(F.col("c_custkey"), size("suppliers").alias("n_suppliers"))
+    joined = r.query("customer").inner_join_many("supplier", "s_nationkey", "c_nationkey", selector=lambda k: (k + 1) % 25, alias="suppliers", aggregates={"n": F.count("*")})
+    return joined.map(F.col("c_custkey"), figure("suppliers.n").alias("n_suppliers"))
 
 
 @query(f"SELECT b.o_orderkey, count(p_partkey)::BIGINT AS n_parts, coalesce(sum(p_retailprice::DECIMAL(18,2)), 0)::DOUBLE AS worth FROM {_BASKETS} b LEFT JOIN (SELECT o_orderkey, unnest(parts) AS part FROM {_BASKETS}) u ON u.o_orderkey = b.o_orderkey LEFT JOIN part ON p_partkey = part GROUP BY b.o_orderkey")
 def join_m2m_forward(r):
-    joined = Query(c.baskets(r.spark, r.sf_dir), c.BASKET, r).join_many_collection_forward("part", "parts", alias="found")
+    joined = Query(c.baskets(r.spark, r.sf_dir), c.BASKET, r).join_many_collection_forward("part", "parts", alias="found", columns=["p_retailprice"])
     return joined.map(F.col("o_orderkey"), size("found").alias("n_parts"), total("found", "p_retailprice").alias("worth"))
 
 
 @query(f"SELECT p_partkey, count(o_orderkey)::BIGINT AS n_orders FROM part LEFT JOIN (SELECT o_orderkey, unnest(parts) AS part FROM {_BASKETS}) ON part = p_partkey GROUP BY p_partkey")
 def join_m2m_reverse(r):
     baskets = Query(c.baskets(r.spark, r.sf_dir), c.BASKET)
-    return r.query("part").join_many_collection(baskets, "parts", alias="orders").map(F.col("p_partkey"), size("orders").alias("n_orders"))
+    return r.query("part").join_many_collection(baskets, "parts", alias="orders", columns=["o_orderkey"]).map(F.col("p_partkey"), size("orders").alias("n_orders"))
 
 
 @query("SELECT c_custkey, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(l_orderkey)::BIGINT AS n_items, coalesce(sum(l_quantity::DECIMAL(18,2)), 0)::DOUBLE AS quantity FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'MACHINERY' GROUP BY c_custkey")
 def join_nested(r):
-    joined = r.query("customer").with_("c_mktsegment", "MACHINERY").join_with("orders", lambda q: q.join_with("lineitem", alias="items"))
+    lines = lambda q: q.join_with("lineitem", alias="items", columns=["l_quantity"])
+    joined = r.query("customer").with_("c_mktsegment", "MACHINERY").join_with("orders", lines, columns=["o_orderkey", "items"])
     items = F.flatten(F.transform("orders", lambda o: o["items"]))
     rows = joined.to_df().withColumn("all_items", items)
     return rows.select("c_custkey", size("orders").alias("n_orders"), size("all_items").alias("n_items"), total("all_items", "l_quantity").alias("quantity"))
@@ -365,11 +404,10 @@ def join_nested(r):
 
 @query("SELECT o_orderkey, c_name, n_name, r_name, n_items, n_peers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT l_orderkey, count(*)::BIGINT AS n_items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey LEFT JOIN (SELECT s_nationkey, count(*)::BIGINT AS n_peers FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey WHERE n_items IS NOT NULL")
 def join_chain5(r):
-    q = r.query("orders").inner_join_with("customer").inner_join_one("nation", F.col("customer.c_nationkey"), alias="nation")
-    q = q.join_one("region", F.col("nation.n_regionkey"), alias="region").inner_join_with("lineitem", alias="items")
-    q = q.join_many("supplier", "s_nationkey", F.col("customer.c_nationkey"), alias="peers")
-    peers = F.when(F.size("peers") > 0, size("peers")).alias("n_peers")
-    return q.map(F.col("o_orderkey"), F.col("customer.c_name").alias("c_name"), F.col("nation.n_name").alias("n_name"), F.col("region.r_name").alias("r_name"), size("items").alias("n_items"), peers)
+    q = r.query("orders").inner_join_with("customer", columns=["c_name", "c_nationkey"]).inner_join_one("nation", F.col("customer.c_nationkey"), alias="nation")
+    q = q.join_one("region", F.col("nation.n_regionkey"), alias="region").inner_join_with("lineitem", alias="items", aggregates={"n": F.count("*")})
+    q = q.join_many("supplier", "s_nationkey", F.col("customer.c_nationkey"), alias="peers", aggregates={"n": F.count("*")})
+    return q.map(F.col("o_orderkey"), F.col("customer.c_name").alias("c_name"), F.col("nation.n_name").alias("n_name"), F.col("region.r_name").alias("r_name"), F.col("items.n").alias("n_items"), F.col("peers.n").alias("n_peers"))
 
 
 # ---- order, pages, counts ----
@@ -382,7 +420,7 @@ def sort_page(r):
 
 @query("SELECT o_orderkey, n_items FROM (SELECT o_orderkey, count(l_orderkey)::BIGINT AS n_items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1) ORDER BY n_items DESC, o_orderkey LIMIT 25 OFFSET 5")
 def sort_join_page(r):
-    q = r.query("orders").with_("o_orderstatus", "P").join_with("lineitem", alias="items").sort([F.size("items").desc(), F.col("o_orderkey")])
+    q = r.query("orders").with_("o_orderstatus", "P").join_with("lineitem", alias="items", columns=["l_linenumber"]).sort([F.size("items").desc(), F.col("o_orderkey")])
     return q.page(5, 25).map(F.col("o_orderkey"), size("items").alias("n_items"))
 
 
@@ -411,7 +449,7 @@ def topk_prefix(r):
 def flagship(r):
     q = r.query("orders").with_("o_orderstatus", "F").with_range("o_orderdate", gte=day("1996-01-01"), lt=day("1998-01-01"))
     # sorted and cut before it is joined: joins never multiply or drop these rows
-    page = Query(q.sort("dearest").page(0, 20).to_df(), c.ORDERS, r).join_with("customer").join_many("lineitem", "l_orderkey", alias="items")
+    page = Query(q.sort("dearest").page(0, 20).to_df(), c.ORDERS, r).join_with("customer").join_many("lineitem", "l_orderkey", alias="items", columns=["l_extendedprice"])
     return page.map(F.col("o_orderkey"), F.col("customer.c_name").alias("c_name"), size("items").alias("n_items"), total("items", "l_extendedprice").alias("sum_price"))
 
 
@@ -450,7 +488,10 @@ def qs_mixed(r):
     return querystring.run(c.ORDERS, r.df("orders"), "o_orderstatus=F&o_orderdate.gte=1999-01-01T00:00:00&o_custkey=<99&&o_totalprice=abc&sort=dearest&size=30").select("o_orderkey")
 
 
-@query()
+@query(
+    "SELECT * FROM (VALUES ('o_orderkey', 'bigint', true, '=,in,>,>=,<,<=,range'), ('o_custkey', 'bigint', true, '=,in,>,>=,<,<=,range'), ('o_orderstatus', 'string', true, '=,in'), "
+    "('o_totalprice', 'double', true, '=,>,>=,<,<=,range'), ('o_orderdate', 'timestamp_ntz', true, '=,>,>=,<,<=,range'), ('o_orderpriority', 'string', true, '=,in')) t(field, type, indexed, ops)"
+)
 def queryable_fields(r):
     return c.ORDERS.queryable_fields(r.df("orders"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
 from ..functions.equality import canonical
-from ..functions.scalars import from_millis, header, header_value
+from ..functions.scalars import from_millis, header, header_bytes, header_value
 from ..spec import EntitySpec
 
 PRODUCER_HEADER = "X-Producer-Id"
@@ -83,11 +83,17 @@ def decided(rows: DataFrame, header_filters: tuple[HeaderFilter, ...] = (), key_
     return rows.withColumn("decision", decision)
 
 
+def header_kind(value: StructType, column: str, kinds: dict[str, str] | None = None) -> str:
+    """How a header column is written: int, long, bytes or string by its type, or as ``kinds`` says (uuid)."""
+    by_type = {"int": "int", "bigint": "long", "binary": "bytes"}
+    return (kinds or {}).get(column) or by_type.get(value[column].dataType.simpleString(), "string")
+
+
 def enriched(rows: DataFrame, spec: EntitySpec, kinds: dict[str, str] | None = None) -> DataFrame:
     """Header and timestamp columns of the value set from the envelope; after the filters, which see the value as sent."""
     value = F.col("value")
     for column, name in spec.headers.items():
-        kind = (kinds or {}).get(column) or {"int": "int", "bigint": "long"}.get(rows.schema["value"].dataType[column].dataType.simpleString(), "string")
+        kind = header_kind(rows.schema["value"].dataType, column, kinds)
         value = F.when(value.isNull(), value).otherwise(value.withField(column, F.coalesce(header_value(F.col("headers"), name, kind), value[column])))
     for column in spec.timestamp_columns:
         kind = rows.schema["value"].dataType[column].dataType
@@ -101,8 +107,17 @@ def applied(rows: DataFrame) -> DataFrame:
     return rows.where("decision <> 'skip'").withColumn("value", F.when(F.col("decision") == "keep", F.col("value")))
 
 
-def parsed(rows: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
-    """JSON text to ``value``; what can't be read has its text in ``quarantine`` and is no tombstone."""
+#: A decoder gets envelopes, the schema of values and the column that holds them raw, and gives them with ``value``
+#: read, null for a tombstone, and ``quarantine``, the raw text (or hexadecimal bytes) of what it couldn't read.
+Decoder = Callable[[DataFrame, StructType, str], DataFrame]
+
+
+def parsed(rows: DataFrame, schema: StructType, column: str = "value", decoder: Decoder | None = None) -> DataFrame:
+    """Raw values to ``value``, by default as JSON text; what can't be read is in ``quarantine`` and is no tombstone."""
+    return (decoder or json_decoder)(rows, schema, column)
+
+
+def json_decoder(rows: DataFrame, schema: StructType, column: str) -> DataFrame:
     text = F.col(column).cast("string")
     read = F.from_json(text, schema, {"mode": "PERMISSIVE"})
     bad = text.isNotNull() & (F.try_parse_json(text).isNull() | read.isNull())
@@ -116,22 +131,44 @@ def _comparable(kind: StructType, c: Column, spec: EntitySpec, sets: tuple[str,
     return canonical(c, kind, sets, spec.ignore_equality)
 
 
-def transitions(rows: DataFrame, spec: EntitySpec, sets: tuple[str, ...] = ()) -> DataFrame:
+#: Arrivals of one stretch of a changelog: the most rows of a key that one task orders at a time.
+STRETCH = 1 << 20
+
+
+def transitions(rows: DataFrame, spec: EntitySpec, sets: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
     """Every envelope with what it did: ``update_type`` Add, Update, Same, Delete or Filtered, ``new`` and ``old`` values.
 
-    Filtered: a tombstone of a key that isn't there. One window by key; ``seq`` is the arrival order.
+    Filtered: a tombstone of a key that isn't there; ``seq`` is the arrival order. The history of a key is cut into
+    stretches of arrivals, each ordered in a task of its own; what a key holds at the end of a stretch, a row for each,
+    is carried to the next ones. So a key with most of the rows is as many tasks as it has stretches.
     """
     kind = rows.schema["value"].dataType
-    by_key = Window.partitionBy("key").orderBy("seq")
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ["key", "_stretch"]
+    within = Window.partitionBy(*parts).orderBy("seq")
+    so_far = within.rowsBetween(Window.unboundedPreceding, -1)
     staged = rows.withColumn("seq", F.col("offset")) if "seq" not in rows.columns else rows
     form = F.struct(F.col("value").isNotNull().alias("there"), _comparable(kind, F.col("value"), spec, sets).alias("form"))
-    staged = staged.withColumn("_form", form)
-    before = F.lag("_form").over(by_key)
+    staged = staged.select("key", "value", "seq", "ts_ms", form.alias("_form"), F.expr(f"seq div {stretch}").alias("_stretch"))
+    staged = staged.withColumn("_before", F.lag("_form").over(within))
+    # within a stretch: the first arrival, and those unlike the one before them; null for the others
+    staged = staged.withColumn("_turn", F.when(F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_form")), F.struct("value")))
+    ends = staged.groupBy(*parts).agg(
+        F.min_by(F.struct(F.col("_form").alias("form"), "value"), "seq").alias("first"),
+        F.max_by("_form", "seq").alias("last_form"),
+        F.max_by("_turn", F.when(F.col("_turn").isNotNull(), F.col("seq"))).alias("last_turn"),
+    )
+    over = Window.partitionBy("key").orderBy("_stretch")
+    ends = ends.withColumn("form_in", F.lag("last_form").over(over))
+    turned = F.when(F.col("form_in").isNull() | ~F.col("form_in").eqNullSafe(F.col("first.form")), F.struct(F.col("first.value").alias("value")))
+    ends = ends.withColumn("_held", F.coalesce("last_turn", turned))
+    # what is held when a stretch begins: the value that began the run of equal ones
+    held_in = F.last("_held", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*(F.col(c).alias(f"{c}_") for c in parts), "form_in", held_in.alias("held_in"))
+    staged = staged.join(carried, F.col("key").eqNullSafe(F.col("key_")) & (F.col("_stretch") == F.col("_stretch_")))
+    before = F.coalesce("_before", "form_in")
     staged = staged.withColumn("_changed", before.isNull() | ~before.eqNullSafe(F.col("_form")))
-    # what is held: the value that began the run of equal ones
-    held = F.last(F.when(F.col("_changed"), F.struct("value")), ignorenulls=True).over(so_far)["value"]
-    staged = staged.withColumn("old", held)
+    held = F.coalesce(F.last(F.when(F.col("_changed"), F.struct("value")), ignorenulls=True).over(so_far), F.col("held_in"))
+    staged = staged.withColumn("old", held["value"])
     there, was = F.col("value").isNotNull(), F.col("old").isNotNull()
     update = F.when(there & ~was, "Add").when(there & ~F.col("_changed"), "Same").when(there, "Update").when(was, "Delete").otherwise("Filtered")
     return staged.select("key", update.alias("update_type"), F.col("value").alias("new"), "old", "seq", "ts_ms")
@@ -182,14 +219,18 @@ def _envelope(df: DataFrame, spec: EntitySpec, value: Column, offset, ts_ms, top
     return df.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), as_column(offset).alias("offset"), as_column(ts_ms).alias("ts_ms"), spec.key_column().alias("key"), value.alias("value"), no_headers.alias("headers"))
 
 
-def to_produce(feed: DataFrame, spec: EntitySpec, producer_id: str, topic: str = "") -> DataFrame:
-    """Only what changed, as (topic, key, value, headers): deletes are tombstones, header columns go back to headers."""
-    def entry(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("key"), F.encode(value.cast("string"), "UTF-8").alias("value"))
+def to_produce(feed: DataFrame, spec: EntitySpec, producer_id: str, topic: str = "", kinds: dict[str, str] | None = None) -> DataFrame:
+    """Only what changed, as (topic, key, value, headers): deletes are tombstones, header columns go back to headers.
+
+    ``enriched`` reads the headers back to the same values; numbers are raw little-endian bytes.
+    """
+    def entry(name: str, value: Column, kind: str = "string") -> Column:
+        return F.struct(F.lit(name).alias("key"), header_bytes(value, kind).alias("value"))
 
     rows = feed.where(F.col("update_type").isin("Add", "Update", "Delete"))
+    form = feed.schema["new"].dataType
     headers = [entry(PRODUCER_HEADER, F.lit(producer_id))]
-    derived = [F.when(F.col(f"new.{c}").isNotNull(), entry(h, F.col(f"new.{c}"))) for c, h in spec.headers.items()]
+    derived = [F.when(F.col(f"new.{c}").isNotNull(), entry(h, F.col(f"new.{c}"), header_kind(form, c, kinds))) for c, h in spec.headers.items()]
     value = F.col("new")
     if spec.headers:
         value = value.dropFields(*spec.headers)

@@ -7,7 +7,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StringType, StructType
+
+from .changelog import Decoder, parsed
 
 _PART = re.compile(r"\[(v|e):([^\]]+)\]", re.I)
 
@@ -29,9 +31,23 @@ def read_changelog(spark: SparkSession, path: str, schema: StructType | None = N
     return reader.parquet(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, value: StructType, stream: bool = False, options: dict[str, str] | None = None) -> DataFrame:
-    """A topic from its earliest offset to the latest (or on and on), with JSON values. Needs Spark's Kafka connector."""
+def read_kafka(spark: SparkSession, servers: str, topic: str, value: StructType, stream: bool = False, options: dict[str, str] | None = None, key: DataType | None = None, decoder: Decoder | None = None) -> DataFrame:
+    """A topic from its earliest offset to the latest (or on and on), as envelopes. Needs Spark's Kafka connector."""
     reader = spark.readStream if stream else spark.read
-    rows = reader.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "includeHeaders": "true"} | (options or {})).load()
-    body = F.from_json(F.col("value").cast("string"), value)
-    return rows.select("topic", "partition", "offset", F.unix_millis("timestamp").alias("ts_ms"), F.col("key").cast("string").alias("key"), body.alias("value"), "headers")
+    settings = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "includeHeaders": "true"}
+    return from_kafka(reader.format("kafka").options(**settings | (options or {})).load(), value, key, decoder)
+
+
+def from_kafka(rows: DataFrame, value: StructType, key: DataType | None = None, decoder: Decoder | None = None) -> DataFrame:
+    """Rows as Kafka's source has them, as envelopes: JSON values (or what the decoder reads), keys as text of their type.
+
+    A message that can't be read, value or key, has its text in ``quarantine``; it is neither an upsert nor a tombstone, so
+    keep the rows where that is null.
+    """
+    key = key or StringType()
+    text = F.col("key").cast("string")
+    named = F.from_json(text, key) if isinstance(key, StructType) else text.try_cast(key)
+    lost = text.isNotNull() & named.isNull()
+    read = parsed(rows, value, "value", decoder)
+    quarantine = F.coalesce("quarantine", F.when(lost, text))
+    return read.select("topic", "partition", "offset", F.unix_millis("timestamp").alias("ts_ms"), named.alias("key"), F.when(quarantine.isNull(), F.col("value")).alias("value"), "headers", quarantine.alias("quarantine"))

@@ -141,6 +141,8 @@ class EntitySpec:
         for i in self.all_indexes():
             if i.label == label:
                 return i
+        if label in self.keys and len(self.keys) > 1:
+            return Index(label)  # a part of the key
         if label in self.keys or label == "key":
             return Index(label, "unique", expr=self.key_column)
         raise KeyError(f"{self.name} has no index {label}")
