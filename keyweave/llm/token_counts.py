@@ -1,10 +1,12 @@
 """Token counts by a compiled finite-state transducer (operator 8).
 
 The tokenizer of a byte-pair model with whitespace markers is compiled, as far as texts need it, into a deterministic
-transducer over characters. A state stands for what has been read of a chunk (chunks begin at a run of markers, which no
-piece crosses), 0 for the start of one. A transition (state, character) -> (state, tokens more) carries the change in
-the number of tokens, and the changes along a path add up to the count. The token that a new state ends with is found
-among the pieces that end there: the only one which, next to the last token before it, the merges leave as it is.
+transducer over characters. Chunks begin at a run of markers, which no piece crosses; state 0 is the start of one. A
+transition (state, character) -> (state, tokens more) carries the change in the number of tokens, and the changes along
+a path add up to the count. The token that a prefix ends with is the only piece ending there which, next to the last
+token before it, the merges leave as it is. So all that a state must know of what was read is its longest suffix that
+begins a piece, and, where in it pieces may begin, the last token before that place and the tokens up to there; chunks
+that agree in this are in one state, whatever came before.
 
 Transitions are kept as sorted arrays. The distinct chunks of a batch of texts run through them side by side, a
 character of each at a time; those that meet a missing transition are compiled, and the arrays are made anew when they
@@ -35,6 +37,8 @@ from .common import partitions, pieces, prepared
 
 MARK = "▁"
 LONGEST = 64
+#: Stands for any character that is in no piece: nothing merges with it.
+FOREIGN = "\0"
 #: Characters of a block of a text; bytes of a text that is not cut into rows; share by which arrays lag behind.
 BLOCK, SPLIT, LAG = 1 << 16, 1 << 17, 0.2
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -66,6 +70,7 @@ class Transducer:
             raise ValueError("this model has no byte fallback")
         self.longest = max(map(len, self.rank))
         self.joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.heads = {p[:i] for p in self.rank for i in range(len(p))}  # what may yet become a piece
         self.ends: dict[str, int] = {}
         self.max_states = states
         self.forms: dict[str, bool] = {}
@@ -82,7 +87,9 @@ class Transducer:
         #: (state, character) in one integer -> next state, and -> tokens more; a state is a number, 0 the start.
         self.move: dict[int, int] = {}
         self.emit: dict[int, int] = {}
-        self.last = [""]  # token of each state
+        #: Of each state: the suffix it knows, last tokens and tokens less by place in it; None where no piece begins.
+        self.known: list[tuple[str, tuple, tuple]] = [("", ("",), (0,))]
+        self.number = {self.known[0]: 0}
         self._arrays()
 
     def _arrays(self) -> None:
@@ -138,55 +145,42 @@ class Transducer:
             found = self.ends[text] = self.walk(text)
         return found
 
-    def _last(self, text: str, end: int, lasts: list[str], counts: list[int], base: int = 0) -> tuple[str, int]:
-        """The last token of text[:end], the one piece ending there that fits to what is before, and the count then.
-
-        lasts and counts are those of text[:base], text[:base + 1], ...
-        """
-        whole, fits = self.forms, self.fits
-        for n in range(1, min(self.longest, end) + 1):
-            piece = text[end - n : end]
-            good = whole.get(piece)
-            if good or (good is None and self._whole(piece)):
-                before = lasts[end - n - base]
-                good = fits.get((before, piece)) if before else True
-                if good or (good is None and self._fits(before, piece)):
-                    return piece, counts[end - n - base] + (1 if piece in self.rank else len(piece.encode()))
-        raise ValueError(f"no token ends in {text[max(0, end - 16) : end]!r}")
-
-    def walk(self, chunk: str) -> int:
-        """Tokens of a chunk: the sum of what its transitions emit. Those that are missing are compiled."""
-        if len(chunk) > LONGEST:
-            return self._walk_long(chunk)
-        if len(self.last) > self.max_states:
-            self._reset()
-        move, emit, last = self.move, self.emit, self.last
-        state, total, lasts, counts = 0, 0, [""], [0]
-        for end, char in enumerate(chunk, 1):
-            key = state << 21 | ord(char)
-            found = move.get(key)
-            if found is None:
-                token, count = self._last(chunk, end, lasts, counts)
-                found, move[key], emit[key] = len(last), len(last), count - total
-                last.append(token)
-            state = found
-            total += emit[key]
-            lasts.append(last[state])
-            counts.append(total)
+    def _compile(self, state: int, char: str) -> int:
+        """The state after one more character; the transition to it is kept with what it emits."""
+        suffix, lasts, less = self.known[state]
+        text = suffix + char
+        if char not in self.rank and char not in self.heads:
+            token, more = FOREIGN, len(char.encode("utf-8", "surrogatepass"))
+        else:
+            for begin in range(len(suffix), -1, -1):
+                piece, before = text[begin:], lasts[begin]
+                if before is not None and self._whole(piece) and (not before or self._fits(before, piece)):
+                    token, more = piece, less[begin] + (1 if piece in self.rank else len(piece.encode()))
+                    break
+            else:
+                raise ValueError(f"no token ends in {text!r}")
+        lasts, less = (*lasts, token), (*(None if n is None else n - more for n in less), 0)
+        begin = next(k for k in range(len(text) + 1) if text[k:] in self.heads)
+        there = [text[k:] in self.heads for k in range(begin, len(text) + 1)]
+        key = (text[begin:], tuple(t if ok else None for t, ok in zip(lasts[begin:], there, strict=True)), tuple(n if ok else None for n, ok in zip(less[begin:], there, strict=True)))
+        to = self.number.setdefault(key, len(self.known))
+        if to == len(self.known):
+            self.known.append(key)
+        at = state << 21 | ord(char)
+        self.move[at], self.emit[at] = to, more
+        return to
+
+    def walk(self, text: str, state: int = 0) -> int:
+        """Tokens more after the characters of a text: what its transitions emit. Those that are missing are compiled."""
+        move, emit, total = self.move, self.emit, 0
+        for char in text:
+            at = state << 21 | ord(char)
+            state = move.get(at)
+            if state is None:
+                state = self._compile(at >> 21, char)
+            total += emit[at]
         return total
 
-    def _walk_long(self, chunk: str) -> int:
-        """The same, keeping only what a piece can reach back to."""
-        lasts, counts, base = [""], [0], 0
-        for end in range(1, len(chunk) + 1):
-            last, count = self._last(chunk, end, lasts, counts, base)
-            lasts.append(last)
-            counts.append(count)
-            if len(lasts) > 4 * self.longest:
-                drop = len(lasts) - 2 * self.longest
-                lasts, counts, base = lasts[drop:], counts[drop:], base + drop
-        return counts[-1]
-
     def run(self, chunks: list[str]) -> np.ndarray:
         """Tokens of chunks of up to LONGEST characters: the compiled transitions, a character of each chunk at a time."""
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -198,13 +192,15 @@ class Transducer:
             key = state[live] << 21 | codes[begin[live] + k]
             at = np.searchsorted(self.keys[:-1], key)
             there = self.keys[at] == key
-            missing.append(live[~there])
+            missing += [(i, k) for i in live[~there].tolist()]
             live, at = live[there], at[there]
             state[live] = self.moves[at]
             total[live] += self.emits[at]
             live = live[sizes[live] > k + 1]
-        for i in np.concatenate([np.zeros(0, dtype=np.int64), *missing]).tolist():
-            total[i] = self.walk(chunks[i])
+        for i, k in missing:
+            total[i] += self.walk(chunks[i][k:], int(state[i]))
+        if len(self.known) > self.max_states:
+            self._reset()
         if len(self.move) > (1 + LAG) * len(self.keys):
             self._arrays()
         return total
@@ -219,7 +215,7 @@ class Transducer:
         counts = dict(zip(short, self.run([MARK + c for c in short]).tolist(), strict=True))
         found = {}
         for chunk, cut, base in zip(chunks, cuts, bases, strict=True):
-            n = counts[base] if len(base) < LONGEST else self._walk_long(MARK + base)
+            n = counts[base] if len(base) < LONGEST else self.walk(MARK + base)
             found[chunk] = n + self.end(chunk[cut:]) if cut else n
         return found
 
