@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import re
 import shutil
@@ -20,6 +19,7 @@ from pyspark.sql.types import IntegralType
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _sent: set[str] = set()
 
 
@@ -69,7 +69,7 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors see; it goes when the session ends.
 
-    Only where that setting is absent (local tests) a folder under the warehouse is used.
+    Only where that setting is absent and the master is local, so one machine is all there is, it is in the temp folder.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
@@ -92,10 +92,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark, name)}/table"
-    df.write.parquet(path)
-    # what was shuffled for it may go now: Spark frees it once the driver has collected its garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the write goes with it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

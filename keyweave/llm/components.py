@@ -2,6 +2,9 @@
 
 Every round is a few shuffles of edges and is stored in the shared folder; rounds grow with the logarithm of the
 longest path. Nothing is collected but two numbers that tell whether a round changed anything.
+
+Defined results: edges from a node to itself and edges with a null end are ignored, and a node that has no other edge
+isn't in the result; repeated and reversed edges count once; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -476,7 +476,13 @@ def _prefixes(rows: DataFrame, percent: int, common: list[int]) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class of linked documents, the one with the smallest id, with all its columns."""
+    """Of each class of linked documents, the one with the smallest id, with all its columns.
+
+    Of rows that repeat an id and a text one stays; texts that differ under the smallest id of a class all stay.
+    """
     named = similarity_classes(docs.select(f"`{id_col}`", f"`{text_col}`"), width, percent, id_col, text_col)
-    stay = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["stay"]), "left_semi")
+    first = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("stay")).agg(F.count("*").alias("rows"))
+    first = stored(first, "stay")
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["stay"]), "left_semi")
+    # ids seldom repeat, and then texts need not be dealt anew
+    return kept if first.where("rows > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, byte_class, pieces, word_hashes
+from .common import batch_bytes, byte_class, pieces, prepared, word_hashes
 
 #: Shares of the diagonal and of the identity (times the mean variance of both classes) in a covariance.
 SHRINK, RIDGE = 0.2, 0.05
@@ -98,6 +98,7 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Class means and covariances from all labelled rows outside the held-out fold."""
     d = len(FEATURES)
+    prepared(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -153,6 +154,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), scores], [*rest, "_score"])
 
+    prepared(docs.sparkSession)
     rows = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     scored = rows.mapInArrow(run, f"{schema}, _score double")
@@ -166,6 +168,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
         for batch in pieces(batches):
             yield batch.filter(pa.array(model.scores(statistics(batch["text"])) >= threshold))
 
+    prepared(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     kept = packed.mapInArrow(run, packed.schema)

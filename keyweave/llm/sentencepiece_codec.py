@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, prepared
 
 MARK = "▁"
 LONGEST = 64
@@ -94,6 +94,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch[0], pa.ListArray.from_arrays(offsets, values)], [id_col, "ids"])
 
+    prepared(docs.sparkSession)
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{_field(docs, id_col)}, ids array<int>")
 
 
@@ -104,6 +105,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             texts = ChunkTable.get(model_path).model.decode([x or [] for x in batch[1].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(texts or [], pa.string())], [id_col, "text"])
 
+    prepared(encoded.sparkSession)
     return encoded.select(id_col, ids_col).mapInArrow(run, f"{_field(encoded, id_col)}, text string")
 
 
@@ -122,12 +124,14 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    prepared(docs.sparkSession)
     schema = f"{_field(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, ids_sha256, decoded_sha256): the ids themselves beside what identifies them."""
+    """(id, n_tokens, ids, ids_sha256, decoded_sha256): the ids themselves beside what identifies them and the text that
+    they decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, codes in _encoded(batches, model_path, True, True):
             texts = ChunkTable.get(model_path).decode(codes)
@@ -136,6 +140,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             digests = ([hashlib.sha256(x).hexdigest() for x in codes], [hashlib.sha256(x.encode()).hexdigest() for x in texts])
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(offsets).astype(np.int64)), ids, *(pa.array(d, pa.string()) for d in digests)], [id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
+    prepared(docs.sparkSession)
     schema = f"{_field(docs, id_col)}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import integer_id, prepared
+
 LONGEST = 64
 #: Sequences in a record batch.
 BATCH = 1024
@@ -214,6 +216,8 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, files: str, end_id: in
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [writer.name], "n_docs": [writer.docs], "n_tokens": [writer.total]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
+    prepared(docs.sparkSession)
+    integer_id(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST)

@@ -387,7 +387,9 @@ def test_shingle_join_edges(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs, 3, 90).collect()}
     assert got[2] == (0, 2) and got[3] == (0, 3) and got[6] == (0, 6) and got[4][1] == 1 and got[None][1] is None
     one = jaccard.first_of_each(docs)
-    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {1, 2, 3, 5, 6, 7, 8, None}
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "3", "5", "6", "7", "8", "None"]
+    again = jaccard.first_of_each(docs.where("doc_id IN (2, 4)").unionByName(docs.where("doc_id IN (2, 4)")))
+    assert sorted(r.doc_id for r in again.collect()) == [2, 4]
 
 
 @pytest.mark.parametrize("length", [4, 2048])
