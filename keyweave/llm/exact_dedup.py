@@ -86,9 +86,9 @@ def _raw(text: Column) -> list[Column]:
 def _segments(rows: DataFrame, text: str = "text") -> DataFrame:
     """A row for each segment of the bytes of a text: ``segment``, its number, and how many bytes are ``behind`` it."""
     rows = rows.withColumn("_bytes", F.col(text).cast("binary")).drop(text)
-    rows = rows.withColumn("number", F.explode(F.expr(f"sequence(0, greatest(0, (n - 1) div {SEGMENT}))")))
-    cut = F.expr(f"substring(_bytes, cast(number * {SEGMENT} + 1 as int), {SEGMENT})")
-    return rows.withColumn("segment", cut).withColumn("behind", F.expr(f"greatest(0, n - (number + 1) * {SEGMENT})")).drop("_bytes")
+    rows = rows.withColumn("number", F.explode(F.expr(f"sequence(0, cast(greatest(0, (n - 1) div {SEGMENT}) as int))")))
+    cut = F.expr(f"substring(_bytes, cast(cast(number as long) * {SEGMENT} + 1 as int), {SEGMENT})")
+    return rows.withColumn("segment", cut).withColumn("behind", F.expr(f"greatest(0, cast(n as long) - (number + 1L) * {SEGMENT})")).drop("_bytes")
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: tuple[int, int]) -> DataFrame:
@@ -111,7 +111,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: tuple[int
         return found.select("id", "text", "r1", "r2", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"), (F.monotonically_increasing_id() * 2 + branch).alias("tag"))
 
     fields = ["segment", "behind", *names]
-    short = rows(size <= SEGMENT, 0).select(F.col("text").cast("binary").alias("segment"), F.lit(0).alias("behind"), F.lit(0).alias("number"), *(c for c in names if c != "number")).select(*fields)
+    short = rows(size <= SEGMENT, 0).select(F.col("text").cast("binary").alias("segment"), F.lit(0).cast("long").alias("behind"), F.lit(0).alias("number"), *(c for c in names if c != "number")).select(*fields)
     long = _segments(rows(size > SEGMENT, 1)).select(*fields).repartition(partitions(docs.sparkSession), "r1", "number")
     return short.mapInArrow(run, schema).unionByName(long.mapInArrow(run, schema))
 
