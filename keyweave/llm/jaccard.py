@@ -334,18 +334,18 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         signed = "key long, node long"
         blocks = connected(_ties(own.mapInArrow(sign, signed), _common(own.sample(_share(rows), seed=1).mapInArrow(sign, signed))))
     else:
-        shingles = lambda some: some.mapInArrow(_exploded(width, False, seed), "key long, node long, n long")
+        shingles = lambda some: some.mapInArrow(_exploded(width, False, seed), "key long, node long")
         common = _common(shingles(own.sample(_share(rows), seed=1)))
-        blocks = connected(_ties(_prefixes(shingles(own), percent, common), common))
+        blocks = connected(_ties(_prefixes(shingles(own), nodes, percent, common), common))
     members = stored(blocks.join(nodes, "node").select("node", F.col("root").alias("block"), "first", "n"), "members")
     sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
     large = sizes.where(F.col("total") > unit).select("block")
     if RANGE * 2 * (100 - percent) <= 100 + percent and not large.isEmpty():
         rest = members.join(large, "block", "left_anti")
         wide = stored(members.join(large, "block", "left_semi"), "large")
-        shingles = lambda some: _with_texts(texts, some.select("node", "first")).mapInArrow(_exploded(width, True, seed), "key long, node long, n long")
+        shingles = lambda some: _with_texts(texts, some.select("node", "first")).mapInArrow(_exploded(width, True, seed), "key long, node long")
         common = _common(shingles(wide.sample(_share(wide), seed=1)))
-        tied = connected(_ties(_prefixes(shingles(wide), percent, common), common))
+        tied = connected(_ties(_prefixes(shingles(wide), wide, percent, common), common))
         again = tied.join(wide.drop("block"), "node").select("node", F.col("root").alias("block"), "first", "n")
         members = stored(rest.select("node", "block", "first", "n").unionByName(again), "members")
         sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
@@ -427,24 +427,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exploded(width: int, named: bool, seed: int):
-    """A function of batches that gives (key, node, n): every shingle of every set, which has n; named: of these nodes only."""
+    """A function of batches that gives (key, node): every shingle of every set; named: of these nodes only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             held = [(node_of(s, seed), s) for s in sets if len(s)]
             if named:
                 held = [(node, s) for node, s in zip(batch["node"].to_pylist(), sets, strict=True) if node_of(s, seed) == node]
             flat = np.concatenate([np.zeros(0, dtype=np.uint64), *(s for _, s in held)]).view(np.int64)
-            sizes = np.array([len(s) for _, s in held], dtype=np.int64)
+            sizes = [len(s) for _, s in held]
             names = np.array([n for n, _ in held], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(sizes, sizes))], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, sizes))], ["key", "node"])
 
     return run
 
 
-def _prefixes(rows: DataFrame, percent: int, common: list[int]) -> DataFrame:
+def _prefixes(rows: DataFrame, sizes: DataFrame, percent: int, common: list[int]) -> DataFrame:
     """(key, node) of the shingles that a set must share one of with any similar set, by how rare they are among these.
 
-    Rows may repeat (documents with equal sets); ``shared`` are a set's shingles that other documents have too. Those in
+    Rows may repeat (documents with equal sets); ``sizes`` has n, the shingles of each node; ``shared`` are a set's shingles that other documents have too. Those in
     ``common`` come last in the order of all sets, so they need no count.
     """
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,9 +469,9 @@ def _prefixes(rows: DataFrame, percent: int, common: list[int]) -> DataFrame:
 
     n = partitions(rows.sparkSession)
     counted = _spread(rows, common).withColumn("df", F.count("*").over(Window.partitionBy("key")))
-    counted = counted.select(F.coalesce("often", "key").alias("key"), "node", "n", F.when(F.col("often").isNull(), F.col("df")).otherwise(1 << 62).alias("df")).where("df > 1")
+    counted = counted.select(F.coalesce("often", "key").alias("key"), "node", F.when(F.col("often").isNull(), F.col("df")).otherwise(1 << 62).alias("df")).where("df > 1")
     once = counted.repartition(n, "node").dropDuplicates(["node", "key"])
-    by_node = once.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    by_node = once.join(sizes.select("node", "n").hint("merge"), "node").withColumn("shared", F.count("*").over(Window.partitionBy("node")))
     return by_node.select("node", "df", "key", "n", "shared").sortWithinPartitions("node", "df", "key").mapInArrow(shortest, "key long, node long")
 
 
