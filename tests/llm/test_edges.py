@@ -383,6 +383,179 @@ def test_shingle_join(spark, width, percent, unit):
     assert sorted(got) == brute_classes(rows, width, percent)
 
 
+def long_words_alike(times=10):
+    """The word of Thue and Morse over two letters, and its complement: equal hashes modulo 2 ** 64 for every base."""
+    a, b = "a", "b"
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide(spark):
+    one, other = long_words_alike()
+    head = "one two three four five six seven eight nine "
+    rows = [(1, head + one), (2, head + other), (3, head.upper() + one)]
+    df = prepared(spark).createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(results(jaccard.similarity_classes(df, 3, 90))) == brute_classes(rows, 3, 90) == [(1, 8, 1), (2, 8, 2), (3, 8, 1)]
+    item = [(7, head + one)]
+    assert results(decontamination.digests(decontamination.find(df, spark.createDataFrame(item, "item_id bigint, text string")))) == brute_hits(rows, item)
+    found = decontamination.occurrences(__import__("pyarrow").array([head + other]), decontamination.windows([("7", head + one)]))
+    assert found[1] == [[]]
+
+
+def test_hashes_that_collide_are_spelled_out(monkeypatch, spark):
+    """Were all words of a length equal by hash, results would be the same: hits and links are confirmed on bytes."""
+    import numpy as np
+
+    from keyweave.llm import common
+
+    real = common._block_hashes
+    weak = lambda *a: (lambda h, s, e: ((e - s).astype(np.uint64), s, e))(*real(*a))
+    windows = decontamination.windows([("7", "a cat sat on the old mat by my bed")])
+    monkeypatch.setattr(common, "_block_hashes", weak)
+    with pytest.raises(ValueError, match="collide"):
+        decontamination.windows([("7", "a cat sat on the old mat by my bed")])
+    names = np.sort(np.array([len(w) for w in ["a", "sat", "on", "abbot"]], dtype=np.uint64))
+    assert decontamination._spelled_so(*(np.array(x) for x in ([99, 97, 116], [0], [3], [0])), windows.spelling, windows.spelled).tolist() in ([True], [False])
+    assert jaccard.alike(b"A b c d", b"a  b c d", 3, 90) and not jaccard.alike(b"a b c d", b"a b c e", 3, 90) and len(names) == 4
+    sets = [np.array([1, 2, 3], dtype=np.uint64)] * 3
+    assert jaccard.classes_in(sets, 90, lambda x, y: {x, y} == {0, 2}).tolist() in ([0, 1, 0], [2, 1, 2])
+
+
+@pytest.mark.parametrize("percent", [90, 60])
+def test_classes_of_many_sets(percent):
+    """The T-occurrence search against all pairs, with classes that meet late and lists of every length."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(percent)
+    bases = [rng.sample(range(10_000), 60) for _ in range(6)]
+    bases += [[*bases[0][:45], *bases[1][:15]], [*bases[2][:30], *bases[3][:30]]]
+    sets = []
+    for _ in range(400):
+        s = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            s[rng.randrange(len(s))] = rng.randrange(10_000, 10_400)
+        sets.append(np.unique(np.array(s[: rng.choice([60, 60, 57, 50])], dtype=np.uint64)))
+    root = list(range(len(sets)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    plain = [set(s.tolist()) for s in sets]
+    for i in range(len(plain)):
+        for j in range(i):
+            if 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j]):
+                root[find(i)] = find(j)
+    got = jaccard.classes_in(sets, percent).tolist()
+    want = [find(i) for i in range(len(sets))]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_connected(spark):
+    from keyweave.llm.components import connected
+
+    edges = [(1, 2), (2, 1), (2, 3), (3, 3), (7, 7), (9, 8), (9, 8), (None, 4), (5, None), *((k, k + 1) for k in range(20, 60))]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {k: 20 for k in range(20, 61)}
+    assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_many_items_share_a_passage():
+    """Pairs of document and item are spread in parts, and a list of items that windows share is met once."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{k * 31 % 997}" for k in range(40))
+    w = decontamination.windows([(str(k), passage + f" tail{k}") for k in range(2000)])
+    assert len(w.first) - 1 == 2001 and len(w.members) == 4000
+    texts = [passage, "none of it", passage + " tail5 x"] * 400
+    words, spans, pairs = decontamination.occurrences(pa.array(texts), w)
+    assert len(pairs[0]) == 400 * 3
+    parts = list(decontamination._named(len(texts), pairs, w))
+    assert len(parts) > 1 and [len(x) for _, _, found in parts for x in found] == [2000, 0, 2000] * 400
+    assert spans[0] == [(0, 40, 0, len(passage))] and words[1] == 3
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 3)
+    text = " ".join(f"W{k}" for k in range(40))
+    docs = [(k, " ".join(f"w{j}" for j in range(k, k + 12))) for k in range(0, 34, 3)]
+    df, item = prepared(spark).createDataFrame(docs, "doc_id bigint, text string"), [(1, text), (2, "w3 w4")]
+    bench = spark.createDataFrame(item, "item_id bigint, text string")
+    for block in (1 << 20, 30):
+        assert results(decontamination.digests(decontamination.find(df, bench, block_bytes=block))) == brute_hits(docs, item)
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="doc_id"):
+        suffix_dedup.kept_bytes(df)
+    with pytest.raises(TypeError, match="doc_id"):
+        token_files.write_sequences(df, WORDS, "unused")
+
+
+def test_huge_texts_are_hashed_in_segments(spark, docs, monkeypatch):
+    want = results(exact_dedup.duplicate_groups(docs))
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 64)
+    assert results(exact_dedup.duplicate_groups(docs)) == want
+    assert results(exact_dedup.duplicate_groups(docs, primes=(2, 3))) == want
+    assert exact_dedup.drop_duplicates(docs).count() == 7
+
+
+def test_quality_is_the_plain_discriminant(spark):
+    """The fitted classes and scores against the textbook formulas on the same statistics."""
+    import numpy as np
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (prepared(spark).read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    train = [i for i in marks if i in texts and zlib.crc32(str(i).encode()) % 5]
+    x = quality.statistics(pa.array([texts[i] for i in train]))
+    y = np.array([marks[i] for i in train])
+    parts = [x[y == k] for k in (0, 1)]
+    pooled = np.mean([np.trace(np.cov(p.T, bias=True)) for p in parts]) / x.shape[1]
+    logs = []
+    ids = sorted(texts)
+    z = quality.statistics(pa.array([texts[i] for i in ids]))
+    for p in parts:
+        c = np.cov(p.T, bias=True)
+        c = (1 - quality.SHRINK) * c + quality.SHRINK * np.diag(np.diag(c)) + max(quality.RIDGE * pooled, 1e-9) * np.eye(len(c))
+        d = z - p.mean(axis=0)
+        logs.append(np.log(len(p) / len(x)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert np.allclose([got[i] for i in ids], want, atol=1e-5)
+
+
+def test_pipeline_stages_on_edges(spark, docs, none, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for name, rows in (("docs", docs.withColumn("n_chars", F.length("text"))), ("none", none.withColumn("n_chars", F.lit(1)))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(BENCH, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[1:]:
+            done = run(spark, now, folder)
+            if stage != "tokenize":
+                assert done.columns == now.columns
+                done.write.parquet(f"{folder}/{stage}")
+                now = spark.read.parquet(f"{folder}/{stage}")
+        texts = {r.doc_id: r.text or "" for r in now.collect()}
+        ids = {r.doc_id: r for r in done.collect()}
+        assert {i: r.ids for i, r in ids.items()} == {i: [sp.bos_id(), *sp.encode(t), sp.eos_id()] for i, t in texts.items()}
+        assert all(r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(sp.decode(r.ids).encode()).hexdigest() for r in ids.values())
+        assert len(ids) == done.count() == (7 if name == "docs" else 0)
+        assert corpus_pipeline.run(spark, folder).count() <= len(texts)
+
+
 def test_shingle_join_edges(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs, 3, 90).collect()}
     assert got[2] == (0, 2) and got[3] == (0, 3) and got[6] == (0, 6) and got[4][1] == 1 and got[None][1] is None
