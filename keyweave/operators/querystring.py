@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.predicates import all_of, between
-from ..functions.scalars import Unparsable, parse
+from ..functions.scalars import parse, Unparsable
 from ..spec import EntitySpec
 
 #: Operators as written, longest first at each place.
@@ -109,6 +109,25 @@ def run(spec: EntitySpec, df: DataFrame, text: str, compat: bool = False) -> Dat
         elif by.lstrip("-") in df.columns:
             c = F.col(by.lstrip("-"))
             out = out.orderBy(c.desc_nulls_last() if by[0] == "-" else c.asc_nulls_first(), *spec.keys)
-    if compat and start + size >= out.count():
-        return out
+    if compat:
+        # one more row than the page tells whether any lie beyond it; rows are counted by no other action
+        beyond = out.select(F.lit(1).alias("n")).limit(start + size + 1).agg(F.count("*").alias("n")).scalar()
+        page = out.offset(start).limit(size).where(beyond > start + size)
+        return page.unionByName(out.where(beyond <= start + size))
     return out.offset(start).limit(size)
+
+
+def by_key(spec: EntitySpec, df: DataFrame, text: str) -> DataFrame:
+    """The row of a key as JSON (value), from the text of the key, the parts of a compound one apart by commas.
+
+    No row where there is none or the text is no key.
+    """
+    from .query import Query
+
+    parts = text.split(",") if len(spec.keys) > 1 else [text]
+    query = Query(df, spec)
+    try:
+        key = tuple(parse(t, df.schema[k].dataType) for t, k in zip(parts, spec.keys, strict=True))
+    except ValueError:
+        return query.where(F.lit(False)).to_json()
+    return query.with_("key", key if len(key) > 1 else key[0]).to_json()

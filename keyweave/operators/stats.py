@@ -33,8 +33,14 @@ def registry_stats(registry: Registry) -> DataFrame:
     return out
 
 
+def registry_json(registry: Registry) -> DataFrame:
+    """One row, value: the figures of all entities as a JSON array."""
+    rows = registry_stats(registry)
+    return rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("entity", "n_rows", "n_indexes")))).alias("value"))  # a row for each entity
+
+
 #: What a stream's health is judged by.
-LIMITS = {"stall_ms": 60_000}
+LIMITS = {"stall_ms": 60_000, "handler_ms": 30_000, "brokers": 1}
 
 
 def stream_stats(spark: SparkSession) -> DataFrame:
@@ -47,16 +53,25 @@ def stream_stats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "stream string, active boolean, batch long, input_rows_per_second double, state_rows long, failure string")
 
 
-def health(stats: dict, now_ms: int, expected: tuple[str, ...] = ()) -> list[str]:
-    """Names of what is wrong with streams given as {name: {active, failure, last_ms, loaded}}."""
+def health(stats: dict, now_ms: int, expected: tuple[str, ...] = (), limits: dict[str, int] | None = None) -> list[str]:
+    """Names of what is wrong with streams given as {name: {...}}; what a stream doesn't tell counts as well.
+
+    failure (fatal), active (stopped), last_ms (stalled), lost_partitions, brokers_up (brokers down), loaded (loading),
+    faulted (its loop failed), partitions (none assigned), handler_since_ms (a handler that is at work for too long).
+    """
+    at = LIMITS | (limits or {})
     found = []
     for name, s in sorted(stats.items()):
-        if s.get("failure"):
-            found.append(f"{name}: fatal")
-        if not s.get("active", True):
-            found.append(f"{name}: stopped")
-        if now_ms - s.get("last_ms", now_ms) > LIMITS["stall_ms"]:
-            found.append(f"{name}: stalled")
-        if not s.get("loaded", True):
-            found.append(f"{name}: loading")
+        checks = {
+            "fatal": bool(s.get("failure")),
+            "stopped": not s.get("active", True),
+            "stalled": now_ms - s.get("last_ms", now_ms) >= at["stall_ms"],
+            "partitions lost": bool(s.get("lost_partitions")),
+            "brokers down": s.get("brokers_up", at["brokers"]) < at["brokers"],
+            "loading": not s.get("loaded", True),
+            "faulted": bool(s.get("faulted")),
+            "no partition": s.get("partitions", 1) < 1,
+            "slow handler": bool(s.get("handler_since_ms")) and now_ms - s["handler_since_ms"] >= at["handler_ms"],
+        }
+        found += [f"{name}: {what}" for what, wrong in checks.items() if wrong]
     return found + [f"{name}: missing" for name in expected if name not in stats]

@@ -16,7 +16,7 @@ from ..functions.predicates import compare
 from ..operators import querystring, recency, stats
 from ..operators.query import Query, index_extreme, prefix_page, strict_unique
 from ..sources import changelog, dump
-from ..spec import EntitySpec, Index, session
+from ..spec import EntitySpec, ForeignKey, Index, Registry, session
 from . import catalog as c
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -642,6 +642,82 @@ def last_update_exact(r):
     return recency.last_update(recency.events(feed, "event_type"))
 
 
+# ---- writes, headers, results as JSON ----
+
+
+@query(f"SELECT user_id AS key, arg_max(event_type, event_id) AS event_type, count(*)::BIGINT AS n FROM (SELECT * FROM {_LOG} WHERE NOT gone UNION ALL SELECT * FROM {_LOG} WHERE NOT gone AND event_id % 2 = 0) GROUP BY user_id")
+def fan_in(r):
+    """Two topics read as one."""
+    log = c.event_log(r.spark, r.sf_dir).where("value IS NOT NULL")
+    both = changelog.fan_in(log, log.where("offset % 2 = 0"))
+    return both.groupBy("key").agg(F.max_by("value.event_type", "offset").alias("event_type"), F.count("*").alias("n"))
+
+
+@query(f"SELECT user_id AS key, max(event_id) AS seq, arg_max(gone, event_id) AS tombstone FROM {_LOG} GROUP BY user_id")
+def compacted(r):
+    return changelog.compacted(c.event_log(r.spark, r.sf_dir)).select("key", F.col("offset").alias("seq"), F.col("value").isNull().alias("tombstone"))
+
+
+@query("SELECT o_custkey AS key, arg_max(o_orderkey, o_orderkey) AS o_orderkey FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey")
+def writes(r):
+    """Rows appended as upserts, then deletes of some keys, folded."""
+    spec = EntitySpec("orders", key="o_custkey")
+    rows = r.df("orders").select("o_custkey", "o_orderkey")
+    up = changelog.upserts(rows, spec, first_offset=F.col("o_orderkey"))
+    gone = changelog.deletes(rows.where("o_custkey % 3 = 0").select("o_custkey").distinct(), spec, up.schema["value"].dataType, first_offset=1 << 60)
+    return changelog.latest_by_key(changelog.fan_in(up, gone)).select("key", "value.o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE o_orderkey * 1000003 END AS tenant, o_orderstatus AS state, md5(o_orderkey::VARCHAR) AS token FROM orders")
+def header_roundtrip(r):
+    """Header columns produced and read again: 4 and 8 byte numbers, text, and a uuid of 16 bytes."""
+    tenant = F.when(F.col("o_orderkey") % 2 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey") * 1000003)
+    token = F.regexp_replace(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    rows = r.df("orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("shop"), tenant.alias("tenant"), F.col("o_orderstatus").alias("state"), token.alias("token"))
+    spec = EntitySpec("orders", key="o_orderkey", headers={"shop": "h-shop", "tenant": "h-tenant", "state": "h-state", "token": "h-token"})
+    feed = changelog.upserts(rows, spec).select("key", F.lit("Add").alias("update_type"), F.col("value").alias("new"))
+    sent = changelog.to_produce(feed, spec, "me", kinds={"token": "uuid"})
+    value = F.col("value")
+    for name in spec.headers:
+        value = value.withField(name, F.lit(None).cast(rows.schema[name].dataType))
+    got = changelog.enriched(sent.withColumn("value", value), spec, {"token": "uuid"})
+    return got.select("value.o_orderkey", F.col("value.shop").cast("long").alias("o_custkey"), "value.tenant", "value.state", F.replace("value.token", F.lit("-"), F.lit("")).alias("token"))
+
+
+@query("SELECT json_object('conv_id', conv_id, 'turn', turn, 'role', role) AS value FROM conversations WHERE conv_id = 3 AND turn = 1")
+def row_by_key_json(r):
+    rows = r.df("conversations").select("conv_id", "turn", "role")
+    return querystring.by_key(c.TURN, rows, "3,1")
+
+
+@query("SELECT (SELECT count(*) FROM customer)::BIGINT AS customer, (SELECT count(*) FROM orders)::BIGINT AS orders, (SELECT count(*) FROM nation)::BIGINT AS nation")
+def stats_json(r):
+    found = stats.registry_json(r).select(F.from_json("value", "array<struct<entity:string,n_rows:bigint,n_indexes:int>>").alias("x"))
+    rows = lambda name: F.filter("x", lambda e: e["entity"] == name)[0]["n_rows"].alias(name)
+    return found.select(rows("customer"), rows("orders"), rows("nation"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 4 OFFSET 2")
+def result_slice(r):
+    return r.query("customer").with_("c_nationkey", 3).sort([F.col("c_custkey")]).page(2, 4).map(F.col("c_custkey"))
+
+
+@query("SELECT 1::BIGINT AS id, 2::BIGINT AS n UNION ALL SELECT 2, 0")
+def dual_form_key(r):
+    """A key declared on the side that it refers to."""
+    reg = Registry()
+    reg.add(EntitySpec("ship", key="id", foreign_keys=(ForeignKey("crate", "id", "one_to_many", right_property="ship_id"),)), r.spark.createDataFrame([(1,), (2,)], "id bigint"))
+    reg.add(EntitySpec("crate", key="id"), r.spark.createDataFrame([(5, 1), (6, 1)], "id bigint, ship_id bigint"))
+    return reg.validated().query("ship").join_with("crate").map(F.col("id"), size("crate").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 100")
+def qs_without_operator(r):
+    """A name without an operator, and a collection's name, are no filters."""
+    rows = r.df("customer").withColumn("tags", F.array("c_mktsegment"))
+    return querystring.run(c.CUSTOMER, rows, "tags=BUILDING&c_nationkey=3&sort=c_custkey").select("c_custkey")
+
+
 # ---- equality, sets, figures, dumps ----
 
 
@@ -653,6 +729,14 @@ def _shared(spark: SparkSession) -> str:
     return (top or Path(tempfile.gettempdir(), "keyweave").as_uri()).rstrip("/")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new shared folder, which goes when the driver ends."""
+    folder = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 @query("SELECT a.user_id AS key, a.event_id AS seq, NOT (b.event_id IS NULL) AS has_twin FROM events a LEFT JOIN (SELECT event_type, value, min(event_id) AS event_id FROM events GROUP BY ALL HAVING count(*) > 1) b ON a.event_type = b.event_type AND a.value = b.value")
 def structural_equality(r):
     log = c.load(r.spark, r.sf_dir, "events").select("event_id", "user_id", F.struct("event_type", "value", "props").alias("v"))
@@ -675,7 +759,7 @@ def index_stats(r):
 @query("SELECT user_id AS key, count(*)::BIGINT AS n, max(event_id) AS last_offset FROM events GROUP BY user_id")
 def dump_roundtrip(r):
     spark = r.spark
-    path = f"{_shared(spark)}/dump-{spark.sparkContext.applicationId}"
+    path = _folder(spark, "dump")
     dump.create_dump(c.event_log(spark, r.sf_dir), path)
     return dump.load_dump(spark, path).groupBy("key").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
@@ -687,7 +771,7 @@ def stream_fold(r):
     from ..streaming.upsert import Follower, ParquetTable, stream_feed
 
     spark = r.spark
-    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
     log = c.event_log(spark, r.sf_dir)
     log.write.parquet(f"{folder}/log")
     feed = stream_feed(read_changelog(spark, f"{folder}/log", log.schema, stream=True), c.EVENT)

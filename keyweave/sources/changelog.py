@@ -120,7 +120,7 @@ def parsed(rows: DataFrame, schema: StructType, column: str = "value", decoder:
 def json_decoder(rows: DataFrame, schema: StructType, column: str) -> DataFrame:
     text = F.col(column).cast("string")
     read = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    bad = text.isNotNull() & (F.try_parse_json(text).isNull() | read.isNull())
+    bad = text.isNotNull() & (F.try_parse_json(text).isNull() | ~F.startswith(F.ltrim(text), F.lit("{")) | read.isNull())
     return rows.withColumn("quarantine", F.when(bad, text)).withColumn("value", F.when(~bad, read))
 
 

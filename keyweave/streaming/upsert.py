@@ -7,7 +7,10 @@ so nothing between the two is lost.
 
 from __future__ import annotations
 
+import json
+import re
 import sys
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,13 +99,13 @@ class Follower:
                 try:
                     handler(rows.orderBy("seq"), batch_id)
                 except Exception as e:  # a handler's failure is noted and doesn't stop the stream
-                    self.failures.append(f"{handler.__name__}: {e}")
+                    self.failures.append(f"{getattr(handler, '__name__', type(handler).__name__)}: {e}")
 
         return run
 
-    def load(self) -> Follower:
-        """All that is there now, handlers silent."""
-        self._start(False, {"availableNow": True}).awaitTermination()
+    def load(self, seconds: int | None = None) -> Follower:
+        """All that is there now, handlers silent; TimeoutError names what is pending after so many seconds."""
+        load_all([self], seconds)
         return self
 
     def follow(self, **trigger) -> Follower:
@@ -126,21 +129,83 @@ class Follower:
         return [] if self.query.awaitTermination(seconds) else [self.name]
 
 
+def load_all(followers: list[Follower], seconds: int | None = None) -> None:
+    """Load several at once; TimeoutError names those that aren't done in time, which are stopped."""
+    running = [(f.name, f._start(False, {"availableNow": True})) for f in followers]
+    end = None if seconds is None else time.monotonic() + seconds
+    pending = []
+    for name, query in running:
+        if end is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(max(0.001, end - time.monotonic())):
+            progress = query.lastProgress
+            pending.append(f"{name} (batch {progress['batchId'] if progress else 'none yet'})")
+            query.stop()
+    if pending:
+        raise TimeoutError("still loading: " + ", ".join(pending))
+
+
 class ParquetTable:
-    """A keyed table kept as versions of Parquet; each batch of a feed writes the next one."""
+    """A keyed table in ``buckets`` by a hash of the key; a batch of a feed writes only the buckets that it touches.
+
+    A manifest for each batch names the version of every bucket and is put in place last. So a batch that failed midway
+    leaves no trace, one that comes again changes nothing, and a new instance on the folder goes on where the last one
+    was. Files that a batch supersedes go with the next one.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, key: DataType, value: DataType):
-        self.spark, self.folder, self.version = spark, folder, -1
+    def __init__(self, spark: SparkSession, folder: str, key: DataType, value: DataType, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
         self.schema = StructType([StructField("key", key), StructField("value", value), StructField("ts_ms", LongType())])
+        jvm = spark.sparkContext._jvm
+        self._path = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join((folder, *names)))
+        self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._text = lambda stream: jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+
+    def manifest(self) -> dict:
+        """{batch, versions by bucket, stale}: what the last complete batch has left."""
+        place = self._path("manifests")
+        names = [f.getPath().getName() for f in self._fs.listStatus(place)] if self._fs.exists(place) else []
+        batches = [int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n)]
+        if not batches:
+            return {"batch": -1, "versions": {}, "stale": []}
+        stream = self._fs.open(self._path("manifests", f"{max(batches)}.json"))
+        try:
+            return json.loads(self._text(stream))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> None:
+        draft, place = (self._path("manifests", f"{'.' * hidden}{manifest['batch']}.json") for hidden in (1, 0))
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.rename(draft, place)
+
+    def _read(self, versions: dict[str, int]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/v{v}/bucket={b}" for b, v in sorted(versions.items())))
 
     def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version}")
+        return self._read(self.manifest()["versions"])
 
     def apply(self, feed: DataFrame, batch_id: int) -> None:
+        before = self.manifest()
+        if batch_id <= before["batch"]:
+            return
+        for name in before["stale"]:
+            self._fs.delete(self._path(name), True)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
         last = feed.groupBy("key").agg(F.max_by(F.struct("new", "ts_ms"), "seq").alias("x"))
-        fresh = last.where("x.new IS NOT NULL").select("key", F.col("x.new").alias("value"), F.col("x.ts_ms").alias("ts_ms"))
-        rest = self.read().join(last, "key", "left_anti")
-        rest.unionByName(fresh).write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
+        staged = last.select("key", F.col("x.new").alias("value"), F.col("x.ts_ms").alias("ts_ms"), bucket.alias("bucket"))
+        staged.write.mode("overwrite").parquet(f"{self.folder}/staged")  # the feed runs once
+        staged = self.spark.read.schema(staged.schema).parquet(f"{self.folder}/staged")
+        touched = {str(r.bucket) for r in staged.select("bucket").distinct().collect()}  # ``buckets`` at most
+        rest = self._read({b: v for b, v in before["versions"].items() if b in touched}).join(staged.select("key"), "key", "left_anti")
+        rows = rest.withColumn("bucket", bucket).unionByName(staged.where("value IS NOT NULL"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{batch_id}")
+        there = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"v{batch_id}"))]
+        versions = {b: v for b, v in before["versions"].items() if b not in touched}
+        versions |= {n.removeprefix("bucket="): batch_id for n in there if n.startswith("bucket=")}
+        stale = [f"v{v}/bucket={b}" for b, v in before["versions"].items() if b in touched]
+        self._commit({"batch": batch_id, "versions": versions, "stale": stale})

@@ -11,8 +11,10 @@ from keyweave import EntitySpec
 from keyweave.functions.equality import same
 from keyweave.functions.scalars import header_value
 from keyweave.operators import recency
-from keyweave.sources import changelog, dump
-from keyweave.sources.config import topic_name
+from keyweave.sources import changelog, dump, messagepack
+from keyweave.sources.config import from_kafka, topic_name
+from keyweave.streaming.produce import Producer, wire
+from keyweave.streaming.upsert import Follower, ParquetTable
 
 VALUE = "struct<grp:string,n:int,note:string>"
 ENVELOPE = f"topic string, partition int, offset bigint, ts_ms bigint, key int, value {VALUE}, headers array<struct<key:string,value:binary>>"
@@ -195,3 +197,104 @@ def test_windows_are_open_below(spark, after, until, want):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "g string")
     assert sorted(r.g for r in recency.updated_after(df, relation, "g", after, until).collect()) == want
     assert recency.newest_walked(relation, after, until).first()[0] == {"b": 9, "c": 12, "a": 5}.get((want or [""])[-1], 0)
+
+
+def test_hot_keys_in_stretches(spark, rows):
+    """Most rows on one key: short stretches give the same feed as one, and no window holds a whole history."""
+    import random
+
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, ("a", 1, "x"), ("a", 1, "y"), ("b", 2, "z")])
+    events = [(0 if rng.random() < 0.8 else rng.randrange(4), value(), k) for k in range(400)]
+    feeds = [rows(changelog.transitions(log(spark, events), SPEC, stretch=n).select("key", "seq", "update_type", "old", "new")) for n in (1, 7, 1 << 20)]
+    assert feeds[0] == feeds[1] == feeds[2]
+    assert sorted((k, s, u) for k, s, u, *_ in feeds[0]) == sorted((k, s, u) for k, s, u, _ in model(events)[1])
+    plan = changelog.transitions(log(spark, events), SPEC)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "_turn" in line.split("windowspecdefinition")[0]]
+    assert all("_stretch" in line.split("windowspecdefinition(")[1] for line in windows)
+
+
+def test_headers_come_back(spark, rows):
+    kinds = {"u": "uuid"}
+    value = "struct<k:int,i:int,l:bigint,s:string,u:string,b:binary>"
+    spec = EntitySpec("h", key="k", headers={c: f"h-{c}" for c in "ilsub"})
+    data = [(1, -5, -(1 << 40), "ü", "00112233-4455-6677-8899-aabbccddeeff", bytearray(b"\x00\x01")), (2, 2**31 - 1, 2**63 - 1, "", "ffffffff-0000-1111-2222-333333333333", bytearray()), (3, None, None, None, None, None)]
+    feed = spark.createDataFrame([(r[0], "Add", r) for r in data], f"key int, update_type string, new {value}")
+    sent = changelog.to_produce(feed, spec, "me", kinds=kinds)
+    raw = {h.key: bytes(h.value) for r in sent.where("key = 1").collect() for h in r.headers}
+    assert raw["h-i"] == struct.pack("<i", -5) and raw["h-l"] == struct.pack("<q", -(1 << 40))
+    assert raw["h-u"].hex() == "33221100554477668899aabbccddeeff"
+    wide = sent.select("key", F.struct("key", *(F.lit(None).cast(t).alias(c) for c, t in zip("ilsub", ("int", "bigint", "string", "string", "binary"), strict=True))).alias("value"), "headers")
+    assert [tuple(r) for r in changelog.enriched(wide, spec, kinds).orderBy("key").select("value.*").collect()] == data
+
+
+def test_packed_numbers_in_headers(spark):
+    for kind, raw, want in (("int", b"\x07", 7), ("int", b"\xff", -1), ("int", b"\xcc\xc8", 200), ("long", b"\xd2\xff\xff\xff\xfe", -2), ("long", b"\xcf" + b"\x00" * 7 + b"\x05", 5), ("int", b"\xcf" + b"\xff" * 8, None), ("int", b"\x80", None)):
+        df = spark.createDataFrame([([("n", bytearray(raw))],)], "headers array<struct<key:string,value:binary>>")
+        assert df.select(header_value(F.col("headers"), "n", kind)).first()[0] == want, raw
+
+
+def test_kafka_rows(spark):
+    """Rows as Kafka's source gives them: poison is put aside, a null value is a tombstone, keys have their type."""
+    import datetime as dt
+
+    from pyspark.sql.types import IntegerType
+
+    schema = spark.createDataFrame([], VALUE.removeprefix("struct<").removesuffix(">").replace(":", " ")).schema
+    rows = [("1", '{"grp":"a","n":2}'), ("2", None), ("3", "{oops"), ("x", '{"grp":"b"}'), ("4", '["no"]')]
+    made = [(k.encode(), v.encode() if v else None, "t", 0, i, dt.datetime(2024, 1, 1), []) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(made, "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, headers array<struct<key:string,value:binary>>")
+    got = {r.offset: (r.key, r.value.grp if r.value else None, r.quarantine) for r in from_kafka(df, schema, IntegerType()).collect()}
+    assert got[0] == (1, "a", None) and got[1] == (2, None, None) and got[2] == (3, None, "{oops") and got[3] == (None, None, "x") and got[4][2]
+
+
+def test_messagepack(spark):
+    schema = spark.createDataFrame([], "a int, s string, t timestamp, l array<int>").schema
+    when = b"\xd6\xff" + struct.pack(">I", 86400)
+    by_name = b"\x84\xa1a\x05\xa1s\xa2hi\xa1t" + when + b"\xa1l\x92\x01\xd1\xff\x00"
+    by_order = b"\x94\xd0\xfb\xd9\x03\xe2\x82\xac\xc0\x90"
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate([by_name, by_order, None, by_name[:-1], b"\xc1", b"\x05"])], "i int, value binary")
+    got = {r.i: r for r in changelog.parsed(df, schema, decoder=messagepack.decoder).collect()}
+    assert got[0].value.a == 5 and got[0].value.s == "hi" and got[0].value.l == [1, -256] and got[0].value.t.timestamp() == 86400
+    assert (got[1].value.a, got[1].value.s, got[1].value.t, got[1].value.l) == (-5, "€", None, [])
+    assert got[2].value is None and got[2].quarantine is None
+    assert [got[i].quarantine for i in (3, 4, 5)] == [by_name[:-1].hex().upper(), "C1", "05"] and got[3].value is None
+
+
+def test_table_survives_restart_and_replay(spark, tmp_path, rows):
+    kinds = (log(spark, []).schema["key"].dataType, log(spark, []).schema["value"].dataType)
+    folder = tmp_path.as_uri()
+    feed = lambda *events: spark.createDataFrame([(k, "Update", v, None, s, s) for s, (k, v) in enumerate(events)], f"key int, update_type string, new {VALUE}, old {VALUE}, seq bigint, ts_ms bigint")
+    first = ParquetTable(spark, folder, *kinds, buckets=4)
+    assert first.read().count() == 0
+    first.apply(feed(*((k, ("a", k, "")) for k in range(20))), 0)
+    second = ParquetTable(spark, folder, *kinds, buckets=4)  # as after a restart
+    second.apply(feed((3, ("b", 3, "")), (99, ("c", 9, "")), (4, None)), 1)
+    second.apply(feed((3, None)), 1)  # the same batch again
+    held = {r.key: r.value.grp for r in ParquetTable(spark, folder, *kinds, buckets=4).read().collect()}
+    assert held == {k: "a" for k in range(20) if k not in (3, 4)} | {3: "b", 99: "c"}
+    versions = second.manifest()["versions"]
+    assert set(versions.values()) == {0, 1}  # buckets that the batch didn't touch are as they were
+    second.apply(feed(*((k, None) for k in [*range(20), 99])), 2)
+    assert second.read().count() == 0
+
+
+def test_producer_writes_what_changed(spark, tmp_path):
+    feed = changelog.transitions(log(spark, [(1, ("a", 1, ""), 0), (1, ("a", 1, "same"), 1), (2, ("b", 2, ""), 2), (1, None, 3)]), SPEC)
+    out = Producer(SPEC, "me", "out", folder=tmp_path.as_uri())
+    out(feed, 0)
+    out(feed, 0)
+    sent = spark.read.parquet(tmp_path.as_uri())
+    assert sorted((r.key, r.value is None) for r in sent.collect()) == [(1, False), (1, True), (2, False)]
+    assert {(r.key, r.value) for r in wire(sent.where("key = 2")).select("key", "value").collect()} == {("2", '{"grp":"b","n":2,"note":""}')}
+    with pytest.raises(ValueError):
+        Producer(SPEC, "me")
+
+
+def test_load_timeout_names_what_is_pending(spark, tmp_path):
+    events = [(1, ("a", 1, ""), 0)]
+    log(spark, events).write.parquet(f"{tmp_path}/log")
+    slow = lambda rows, batch: __import__("time").sleep(20)
+    stream = spark.readStream.schema(log(spark, []).schema).parquet(f"{tmp_path}/log")
+    with pytest.raises(TimeoutError, match="laggard"):
+        Follower(stream, f"{tmp_path}/c", slow, "laggard").load(seconds=3)
