@@ -4,7 +4,8 @@ A finite-state machine over roles checks the order of turns and names the first
 how a turn opens by its role, how every turn closes, and which roles' texts are learned. Its control strings are
 escaped inside texts: a backslash becomes ``\\s`` and control string k a backslash and the k-th letter of CODES, so a text
 never holds a control string and unescaping is exact. Output is the formatted conversation, and its loss mask as spans
-of code points; ``read_back`` parses roles and texts from the formatted string alone and the learned text by the mask.
+of code points within turns, so that writing and reading it take time in proportion to the conversation;
+``read_back`` parses roles and texts from the formatted string alone and the learned text by the mask.
 
 A conversation is one row of the output, so its turns meet in one task; conversations are otherwise independent, and
 rows of a conversation are few beside those of the table.
@@ -92,31 +93,25 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def format_chats(talks: DataFrame, template: Template | None = None) -> DataFrame:
     """(conv_id, formatted, loss spans, valid, wrong_turn): the segments of every turn laid end to end.
 
-    A turn gives three segments: opening and glue, the escaped text, glue and closing; only the text of a learned role
-    has the loss flag.
+    A turn is three segments: opening and glue, the escaped text, glue and closing. Only the text of a learned role has
+    the loss flag; its span is (turn, start, length): the turn's number from 0, and code points from the turn's opening on.
     """
     t = template or Template()
     glue = F.lit(t.glue)
 
     def segments(turn: Column) -> Column:
-        head = F.struct(F.concat(t.opening(turn["role"]), glue).alias("text"), F.lit(False).alias("loss"))
-        body = F.struct(t.escaped(turn["text"]).alias("text"), turn["role"].isin(*t.learned).alias("loss"))
-        tail = F.struct(F.concat(glue, F.lit(t.close)).alias("text"), F.lit(False).alias("loss"))
-        return F.array(head, body, tail)
+        head = F.concat(t.opening(turn["role"]), glue)
+        return F.struct(head.alias("head"), t.escaped(turn["text"]).alias("body"), turn["role"].isin(*t.learned).alias("loss"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+    def span(s: Column, turn: Column) -> Column:
+        return F.when(s["loss"], F.struct(turn.alias("turn"), F.length(s["head"]).alias("start"), F.length(s["body"]).alias("length")))
 
-    def advance(acc: Column, s: Column) -> Column:
-        size = F.length(s["text"]).cast("long")
-        span = F.struct(acc["at"].alias("start"), size.alias("length"))
-        return F.struct((acc["at"] + size).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    parts = talks.select("conv_id", F.flatten(F.transform("turns", segments)).alias("segments"), t.order(F.col("turns")).alias("order"))
+    parts = talks.select("conv_id", F.transform("turns", segments).alias("segments"), t.order(F.col("turns")).alias("order"))
     good = F.col("order.wrong").isNull() & F.col("order.state").isin(*t.ends)
     return parts.select(
         "conv_id",
-        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        F.aggregate("segments", begin, advance, lambda acc: acc["spans"]).alias("loss"),
+        F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], glue, F.lit(t.close))), "").alias("formatted"),
+        F.filter(F.transform("segments", span), lambda x: x.isNotNull()).alias("loss"),
         good.alias("valid"),
         F.col("order.wrong").alias("wrong_turn"),
     )
@@ -126,6 +121,7 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
     """(conv_id, turns of role and text, loss_text, formatted, valid) from the formatted strings and their masks."""
     t = template or Template()
     pieces = F.split("formatted", _quoted(t.close))
+    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # nothing stands behind the last closing
 
     def turn(piece: Column) -> Column:
         """``piece`` is opening, glue, text, glue."""
@@ -139,10 +135,10 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         return F.struct(role.alias("role"), rest.alias("text"))
 
     g = len(t.glue)
-    turns = F.transform(F.filter(pieces, lambda p: p != ""), turn)
+    turns = F.transform("pieces", turn)
     trimmed = F.transform(turns, lambda x: F.struct(x["role"].alias("role"), t.unescaped(x["text"].substr(F.lit(g + 1), F.length(x["text"]) - 2 * g)).alias("text")))
-    learned = F.transform("loss", lambda s: t.unescaped(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", trimmed.alias("turns"), F.array_join(learned, "").alias("loss_text"), "formatted", "valid", "wrong_turn")
+    learned = F.transform("loss", lambda s: t.unescaped(F.get("pieces", s["turn"]).substr(s["start"] + 1, s["length"])))
+    return formatted.withColumn("pieces", pieces).select("conv_id", trimmed.alias("turns"), F.array_join(learned, "").alias("loss_text"), "formatted", "valid", "wrong_turn")
 
 
 def _quoted(text: str) -> str:

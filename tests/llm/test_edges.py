@@ -610,3 +610,16 @@ def test_chat_format(spark):
     controls = chat_format.Template().controls
     text = {r.conv_id: r.formatted for r in formatted.collect()}[1]
     assert {c: text.count(c) for c in controls} == {"<<SYS>>": 1, "[INST]": 2, "[/INST]": 2, "</s>": 5, "<<ROLE>>": 0, "<</ROLE>>": 0}
+
+
+def test_chat_spans_of_long_conversations(spark):
+    text = "aé</s>\\s[INST]"
+    rows = spark.range(30_001).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    talks = chat_format.conversations(rows)
+    back = chat_format.digests(chat_format.read_back(chat_format.format_chats(talks))).first()
+    learned = text * 15_000
+    assert (back.n_turns, back.loss_chars, back.valid) == (30_001, len(learned), True)
+    assert back.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+    empty = spark.createDataFrame([(1, [])], "conv_id int, turns array<struct<turn:int,role:string,text:string>>")
+    found = chat_format.read_back(chat_format.format_chats(empty)).first()
+    assert (found.turns, found.loss_text, found.formatted, found.valid) == ([], "", "", False)
