@@ -334,18 +334,18 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         signed = "key long, node long"
         blocks = connected(_ties(own.mapInArrow(sign, signed), _common(own.sample(_share(rows), seed=1).mapInArrow(sign, signed))))
     else:
-        shingles = lambda some: some.mapInArrow(_exploded(width, False, seed), "key long, node long")
-        common = _common(shingles(own.sample(_share(rows), seed=1)))
-        blocks = connected(_ties(_prefixes(shingles(own), nodes, percent, common), common))
+        common = _common(own.sample(_share(rows), seed=1).mapInArrow(_exploded(width, seed), "key long, node long"))
+        blocks = connected(_ties(_prefixes(_dealt(own, width, False, seed, common), nodes, percent, common), common))
     members = stored(blocks.join(nodes, "node").select("node", F.col("root").alias("block"), "first", "n"), "members")
     sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
     large = sizes.where(F.col("total") > unit).select("block")
     if RANGE * 2 * (100 - percent) <= 100 + percent and not large.isEmpty():
         rest = members.join(large, "block", "left_anti")
         wide = stored(members.join(large, "block", "left_semi"), "large")
-        shingles = lambda some: _with_texts(texts, some.select("node", "first")).mapInArrow(_exploded(width, True, seed), "key long, node long")
-        common = _common(shingles(wide.sample(_share(wide), seed=1)))
-        tied = connected(_ties(_prefixes(shingles(wide), wide, percent, common), common))
+        some = _with_texts(texts, wide.sample(_share(wide), seed=1).select("node", "first"))
+        common = _common(some.mapInArrow(_exploded(width, seed), "key long, node long"))
+        dealt = _dealt(_with_texts(texts, wide.select("node", "first")), width, True, seed, common)
+        tied = connected(_ties(_prefixes(dealt, wide, percent, common), common))
         again = tied.join(wide.drop("block"), "node").select("node", F.col("root").alias("block"), "first", "n")
         members = stored(rest.select("node", "block", "first", "n").unionByName(again), "members")
         sizes = members.groupBy("block").agg(F.sum("n").alias("total"))
@@ -426,26 +426,56 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _exploded(width: int, named: bool, seed: int):
-    """A function of batches that gives (key, node): every shingle of every set; named: of these nodes only."""
+def _exploded(width: int, seed: int):
+    """A function of batches that gives (key, node): every shingle of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
-            held = [(node_of(s, seed), s) for s in sets if len(s)]
-            if named:
-                held = [(node, s) for node, s in zip(batch["node"].to_pylist(), sets, strict=True) if node_of(s, seed) == node]
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *(s for _, s in held)]).view(np.int64)
-            sizes = [len(s) for _, s in held]
-            names = np.array([n for n, _ in held], dtype=np.int64)
+            flat, names, sizes = _flat(batch, sets, False, seed)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, sizes))], ["key", "node"])
 
     return run
 
 
+def _flat(batch: pa.RecordBatch, sets: list[np.ndarray], named: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a batch's sets end to end, the name of each set and its size; named: of the nodes in the batch only."""
+    held = [(node_of(s, seed), s) for s in sets if len(s)]
+    if named:
+        held = [(node, s) for node, s in zip(batch["node"].to_pylist(), sets, strict=True) if node_of(s, seed) == node]
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *(s for _, s in held)]).view(np.int64)
+    return flat, np.array([n for n, _ in held], dtype=np.int64), np.array([len(s) for _, s in held], dtype=np.int64)
+
+
+def _dealt(rows: DataFrame, width: int, named: bool, seed: int, common: list[int]) -> DataFrame:
+    """(part, key, node) of every shingle of every set, dealt to as many parts as there are shuffle partitions.
+
+    A set's shingles of one part travel as one row, so a name isn't repeated with each. A key has one part, but a common
+    one is dealt by key and node.
+    """
+    n, often = partitions(rows.sparkSession), np.array(sorted(common), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, width):
+            flat, names, sizes = _flat(batch, sets, named, seed)
+            owner, salt = np.repeat(np.arange(len(names)), sizes), np.repeat(names, sizes).view(np.uint64)
+            dealt = mix(flat.view(np.uint64) ^ np.where(np.isin(flat, often), mix(salt), np.uint64(0)))
+            group = owner * n + (dealt % np.uint64(n)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(group)), pa.int32()), pa.array(flat[order]))
+            parts = [pa.array(group[first] % n, pa.int32()), pa.array(names[group[first] // n], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(parts, ["part", "node", "keys"])
+
+    packed = rows.mapInArrow(run, "part int, node long, keys array<long>")
+    return packed.repartitionById(n, "part").select("part", F.explode("keys").alias("key"), "node")
+
+
 def _prefixes(rows: DataFrame, sizes: DataFrame, percent: int, common: list[int]) -> DataFrame:
     """(key, node) of the shingles that a set must share one of with any similar set, by how rare they are among these.
 
-    Rows may repeat (documents with equal sets); ``sizes`` has n, the shingles of each node; ``shared`` are a set's shingles that other documents have too. Those in
-    ``common`` come last in the order of all sets, so they need no count.
+    ``rows`` are dealt ones and may repeat (documents with equal sets); ``sizes`` has n, the shingles of each node;
+    ``shared`` are a set's shingles that other documents have too. Those in ``common`` come last in the order of all
+    sets, so they need no count.
     """
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From (node, df, key, n) sorted by node, df and key, without shingles of one document: the first ones."""
@@ -468,8 +498,9 @@ def _prefixes(rows: DataFrame, sizes: DataFrame, percent: int, common: list[int]
             yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(keep)), batch["node"].filter(pa.array(keep))], ["key", "node"])
 
     n = partitions(rows.sparkSession)
-    counted = _spread(rows, common).withColumn("df", F.count("*").over(Window.partitionBy("key")))
-    counted = counted.select(F.coalesce("often", "key").alias("key"), "node", F.when(F.col("often").isNull(), F.col("df")).otherwise(1 << 62).alias("df")).where("df > 1")
+    often = F.col("key").isin(common) if common else F.lit(False)
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("part", "key")))
+    counted = counted.select("key", "node", F.when(often, 1 << 62).otherwise(F.col("df")).alias("df")).where("df > 1")
     once = counted.repartition(n, "node").dropDuplicates(["node", "key"])
     by_node = once.join(sizes.select("node", "n").hint("merge"), "node").withColumn("shared", F.count("*").over(Window.partitionBy("node")))
     return by_node.select("node", "df", "key", "n", "shared").sortWithinPartitions("node", "df", "key").mapInArrow(shortest, "key long, node long")
