@@ -623,21 +623,3 @@ def test_chat_spans_of_long_conversations(spark):
     empty = spark.createDataFrame([(1, [])], "conv_id int, turns array<struct<turn:int,role:string,text:string>>")
     found = chat_format.read_back(chat_format.format_chats(empty)).first()
     assert (found.turns, found.loss_text, found.formatted, found.valid) == ([], "", "", False)
-
-
-def test_dealt_shingles(spark):
-    """All pairs arrive, a key in one part unless it is common."""
-    texts = ["", "one", *(f"w{k} the same five words here again w{k % 7} w{k}" for k in range(300))]
-    rows = spark.createDataFrame([(t, 0) for t in texts], "text string, id int").repartition(3)
-    pairs = sorted((r.key, r.node) for r in rows.mapInArrow(jaccard._exploded(5, 0), "key long, node long").collect())
-    counts = defaultdict(int)
-    for key, _ in pairs:
-        counts[key] += 1
-    common = [k for k, n in counts.items() if n >= 300]
-    dealt = jaccard._dealt(rows, 5, False, 0, common).collect()
-    assert common and sorted((r.key, r.node) for r in dealt) == pairs
-    parts = defaultdict(set)
-    for r in dealt:
-        parts[r.key].add(r.part)
-    assert {len(p) for k, p in parts.items() if k not in common} == {1} and all(len(parts[k]) > 1 for k in common)
-    assert jaccard._dealt(rows.limit(0), 5, False, 0, common).count() == 0
